@@ -181,7 +181,7 @@ def _probe(percent: int):
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, n_class) in the order of nothing; see the module's text."""
+    """(doc_id, text_key, n_shingles, component_id, root, n_copies) of each row: root names the component, n_copies counts rows of the same set."""
     spark = docs.sparkSession
     work = Scratch(spark, "ngram-join")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
@@ -220,10 +220,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     roots = work.keep(components(work, first.union(second), "last"), "all-roots")
     named = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("cid", "copies", "component_id")
-    known = attach(filled.select("doc_id", "n", "cid"), named, ["cid"], "copies", total)
-    bare = sets.where("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("cid"), F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("component_id"))
-    return known.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("copies").alias("n_class"))
+    named = named.join(ids, "root").select("cid", "copies", "root", "component_id")
+    known = attach(filled.select("doc_id", "text_key", "n", "cid"), named, ["cid"], "copies", total)
+    none = F.lit(None).cast("long")
+    bare = sets.where("n = 0").select("doc_id", "text_key", "n", none.alias("cid"), none.alias("copies"), none.alias("root"), F.col("doc_id").alias("component_id"))
+    return known.unionByName(bare).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root", F.col("copies").alias("n_copies"))
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -340,13 +341,13 @@ def _whole_sets(base: DataFrame, reps: DataFrame, pairs: DataFrame, crowded, k:
 
 
 def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay: of each component one document of the smallest id, and all documents without shingles.
+    """The rows that stay: of each component the document of the smallest id (null last), and all without shingles.
 
     Rows with one doc_id and different texts are told apart by their text; of rows equal in both, one stays.
     """
     own = ngram_join(docs, k, percent)
-    keep = own.where("n_shingles = 0 or doc_id = component_id or doc_id is null and component_id is null").select("doc_id", "text_key").distinct()
-    keep = keep.withColumn("_first", F.lit(True))
-    key = F.xxhash64(F.col("text").cast("string"))
-    same = docs["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (key == keep["text_key"])
-    return docs.join(keep, same, "left_semi")
+    best = own.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
+    keep = best.select("best.doc_id", "best.text_key").union(own.where("n_shingles = 0").select("doc_id", "text_key")).distinct().toDF("_id", "_key")
+    rows = docs.withColumn("_own_key", F.xxhash64(F.col("text").cast("string")))
+    same = rows["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (rows["_own_key"] == keep["_key"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_own_key"]).select(docs.columns)
