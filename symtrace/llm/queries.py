@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from symtrace.llm.common import table
 from symtrace.llm.decontaminate import decontaminate
 from symtrace.llm.exact_dedup import exact_dedup
+from symtrace.llm.licenses import licenses
 from symtrace.llm.mixing import mixture
 from symtrace.llm.ngram_join import ngram_join
 from symtrace.llm.quality import quality_scores
+from symtrace.llm.secrets import KINDS, secrets
+from symtrace.llm.substring_dedup import repeats
+from symtrace.llm.toxicity import toxicity_scores
+from symtrace.llm.warc import round_trip
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,16 +33,50 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["base"])
+    counts = [F.expr(f"cast(size(filter(found, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses(table(spark, sf_dir, "documents"))
+    base = F.transform("places", lambda p: p["label"])
+    starts = F.transform("places", lambda p: p["start"])
+    names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    # a phrase alone is worth a half, a notice what it covers
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))
+    score = F.least(F.lit(1.0), F.greatest(best, F.when(F.size("places") > 0, 0.5).otherwise(0.0)))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.concat(base, F.transform("spans", lambda s: s["label"]))).alias("labels"), score.alias("score"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line", "first", "last", "n_words", "cluster", "occurrences", "keep_doc_id", "removed")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held=(4, 2))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mixing, op5_exact_dedup, op9_ngram_join)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(table(spark, sf_dir, "pages"), least=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mixing, op4_secrets, op5_exact_dedup, op6_licenses, op7_substring_dedup, op8_toxicity, op9_ngram_join, op10_warc)}
 
 #: DuckDB SQL. White space and words are cut by the same patterns; A-Z alone are lower-cased.
 ORACLE_SQL = {
