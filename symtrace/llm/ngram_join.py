@@ -5,12 +5,12 @@ a fixed-size count sketch last, by crowding, then by hash. Two sets of Jaccard s
 share a shingle among the first ``n - ceil(s n) + 1`` of each, so candidates come from those prefixes.
 A hub's candidates are stored in a trie of ordered sets; the hub's set traverses it, sharing the
 overlap of common paths, and drops a subtree as soon as what is left on both sides can't reach the
-overlap that the threshold asks for. The same trie runs over prefixes first (a safe upper bound) and
-over whole sets afterwards (exact).
+overlap that the threshold asks for.
 
-Links are wanted as components, so a posting list is not expanded into all its pairs: each list first
-meets one hub of its own per class of sizes; after the components of those links, only pairs that are
-still in different components are compared, all of them.
+Links are wanted as components, so a posting list is not expanded into all its pairs: the members of a
+list first meet one hub for each class of sizes. Linked sets are labelled by a hub they share, and then
+only pairs of a list whose labels differ are compared, all of them. Before whole sets travel, a pair must
+pass a parity bitmap: bits that differ between two sets' bitmaps number at most the items that differ.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
 fewer than five words make one shingle of the whole sequence; equal texts and repeated rows share a
@@ -51,6 +51,21 @@ def ordered_set(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return np.unique((crowded[cell].astype(np.uint64) << np.uint64(60)) | (shingles >> np.uint64(4)))
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Parity of the items by their low bits, in 64-bit words; as many bits as items or up to twice that."""
+    size = 64
+    while size < len(items):
+        size *= 2
+    return np.packbits((np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def alike(a: str, b: str, n: str, m: str, percent: int) -> str:
+    """SQL: whether the bitmaps of two sets of compatible sizes allow the overlap; the longer one is folded."""
+    half = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    differ = f"aggregate(zip_with({half(a, b)}, {half(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    return f"{differ} <= {n} + {m} - 2 * (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -189,35 +204,25 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def to_sets(batches):
         for batch in batches:
-            n, cid, prefix = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, cid, prefix, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for i, words in _each_text(batch, "text"):
                 s = ordered_set(shingle_hashes(words, k), crowded.value)
                 n[i] = len(s)
                 if len(s):
                     cid[i] = _class_of(s)
                     prefix[i] = s[: prefix_length(len(s), percent)].tobytes()
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n), "cid": pa.array(cid), "prefix": pa.array(prefix, pa.binary())})
+                    bits[i] = bitmap(s)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n), "cid": pa.array(cid), "prefix": pa.array(prefix, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    sets = work.keep(base.mapInArrow(to_sets, "doc_id long, text_key long, n long, cid long, prefix binary"), "sets")
+    sets = work.keep(base.mapInArrow(to_sets, "doc_id long, text_key long, n long, cid long, prefix binary, bits array<long>"), "sets")
     filled = sets.where("n > 0")
     total, items = filled.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
     lists = _posting_lists(work, filled, crowded, int(items))
     reps = work.keep(filled.groupBy("cid").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "classes")
-    prefixes = filled.select("cid", "n", F.col("prefix").alias("items"))
     lists = work.keep(lists.join(reps.select("cid", "n"), "cid").select("list", "cid", "n"), "lists")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = work.keep(pairs.distinct(), f"{name}-pairs")
-        likely = work.keep(_probed(pairs, _needed_rows(prefixes, pairs), percent), f"{name}-likely")
-        whole = work.keep(_whole_sets(base, reps, likely, crowded, k), f"{name}-sets")
-        links = work.keep(_probed(likely, whole, percent), f"{name}-links")
-        work.drop(f"{name}-pairs", f"{name}-likely", f"{name}-sets")
-        return links
-
-    first = verified(_hub_pairs(lists, percent), "hubs")
-    roots = work.keep(components(work, first, "first"), "roots")
-    second = verified(_cross_pairs(lists, roots, percent), "rest")
-    roots = work.keep(components(work, first.union(second), "last"), "all-roots")
+    bits = work.keep(filled.select("cid", "bits").join(lists.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "bits")
+    links = all_links(work, lists, bits, lambda likely: _whole_sets(base, reps, likely, crowded, k), percent)
+    roots = work.keep(components(work, links, "components"), "roots")
     named = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("cid", "copies", "root", "component_id")
@@ -227,6 +232,24 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return known.unionByName(bare).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root", F.col("copies").alias("n_copies"))
 
 
+def all_links(work: Scratch, lists: DataFrame, bits: DataFrame, whole, percent: int) -> DataFrame:
+    """(a, b): links enough for the components of all links. lists: (list, cid, n); bits: (cid, bits); whole(pairs) gives the sets of the classes in pairs."""
+
+    def verified(likely: DataFrame, name: str) -> DataFrame:
+        likely = work.keep(likely, f"{name}-likely")
+        links = work.keep(_probed(likely, work.keep(whole(likely), f"{name}-sets"), percent), f"{name}-links")
+        work.drop(f"{name}-likely", f"{name}-sets")
+        return links
+
+    first = verified(_likely(_hub_pairs(lists, percent).distinct(), bits, percent), "hubs")
+    # any labels do that only linked classes share: the least hub, and that hub's
+    low = first.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("hub"))
+    up = low.select(F.col("cid").alias("hub"), F.col("hub").alias("higher"))
+    labels = work.keep(low.join(up, "hub", "left").select("cid", F.coalesce("higher", "hub").alias("label")), "labels")
+    second = verified(_cross_likely(lists, labels, bits, percent), "rest")
+    return first.union(second)
+
+
 def _class_of(s: np.ndarray) -> int:
     """64 bits for a set, from two sums over its items."""
     a, b = (mix(s ^ x).sum(dtype=np.uint64, keepdims=True) for x in (np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -293,28 +316,38 @@ def _fits(a: str, b: str, percent: int):
 
 
 def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each member with a hub of its list: one hub for each class of sizes, chosen by hash, for its own class and those beside it."""
+    """Each member with the hubs of its list, one for each class of sizes, of its own class and those beside it.
+
+    Hubs are first by one hash for all lists, so that alike sets, which share most lists, share their hub.
+    """
     p = lists.withColumn("z", _size_class("n"))
-    hubs = p.groupBy("list", "z").agg(F.min(F.struct(F.xxhash64("list", "cid").alias("h"), "cid", "n")).alias("hub"))
+    hubs = p.groupBy("list", "z").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub"))
     near = hubs.select("list", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"), F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
-    return p.join(near, ["list", "z"]).where((F.col("cid") != F.col("hub")) & _fits("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    pairs = p.join(near, ["list", "z"]).where((F.col("cid") != F.col("hub")) & _fits("n", "hub_n", percent))
+    return pairs.select(F.col("hub").alias("a"), F.col("hub_n").alias("an"), F.col("cid").alias("b"), F.col("n").alias("bn"))
 
 
-def _cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list whose components still differ; members of a list's largest component don't meet each other."""
-    p = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    by = p.groupBy("list", "root").agg(F.count("*").alias("m")).groupBy("list").agg(F.count("*").alias("k"), F.max(F.struct("m", "root")).alias("top"))
-    p = p.join(by.where("k > 1").select("list", F.col("top.root").alias("top")), "list")
-    few = p.where("root <> top").select("list", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    all_ = p.select("list", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), "top")
-    # a pair of two small components is met twice, in both orders; one of them is enough
-    return few.join(all_, "list").where((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("top")) | (F.col("a") < F.col("b"))) & _fits("an", "bn", percent)).select("a", "b")
+def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the bitmaps."""
+    d = pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("y")), "b")
+    return d.where(F.expr(alike("x", "y", "an", "bn", percent))).select("a", "b")
 
 
-def _needed_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Items of the classes that occur in pairs, once each."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    return rows.join(ids, "cid", "left_semi").groupBy("cid").agg(F.min("n").alias("n"), F.first("items").alias("items"))
+def _cross_likely(lists: DataFrame, labels: DataFrame, bits: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """Pairs (a, b) of a list whose labels differ and that pass the bitmaps; members of a list's largest label don't meet each other.
+
+    Members travel in arrays of about ``chunk``, so a row is made for a member and an array, and for what passes.
+    """
+    p = lists.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    by = p.groupBy("list", "label").agg(F.count("*").alias("m")).groupBy("list").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
+    p = p.join(by.where("k > 1").select("list", "m", F.col("top.label").alias("top")), "list").join(bits, "cid")
+    few = p.where("label <> top").select("list", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bits").alias("x"))
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / chunk)).alias("part")
+    packs = p.groupBy("list", "top", part).agg(F.collect_list(F.struct(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("bits").alias("y"))).alias("pack"))
+    # two members of small labels meet in both orders; one of them is enough
+    fits = f"e.bl <> al and (e.bl = top or a < e.b) and 100 * least(an, e.bn) >= {percent} * greatest(an, e.bn) and {alike('x', 'e.y', 'an', 'e.bn', percent)}"
+    met = few.join(packs, "list").select("a", F.expr(f"transform(filter(pack, e -> {fits}), e -> e.b)").alias("bs")).where("size(bs) > 0")
+    return met.select("a", F.explode("bs").alias("b")).distinct()
 
 
 def _probed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
