@@ -8,8 +8,8 @@ overlap of common paths, and drops a subtree as soon as what is left on both sid
 overlap that the threshold asks for.
 
 Links are wanted as components, so a posting list is not expanded into all its pairs: the members of a
-list first meet one hub for each class of sizes. Linked sets are labelled by a hub they share, and then
-only pairs of a list whose labels differ are compared, all of them. Before whole sets travel, a pair must
+list first meet a few hubs for each class of sizes. Linked sets are labelled by the component of these links, and
+then only pairs of a list whose labels differ are compared, all of them. Before whole sets travel, a pair must
 pass a parity bitmap: bits that differ between two sets' bitmaps number at most the items that differ.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
@@ -31,6 +31,7 @@ from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, mix, s
 
 WIDTH = 20  #: bits of the count sketch; its size, and the broadcast's, is 2 ** WIDTH cells
 CHUNK = 1024  #: members that meet their hub in one group
+HUBS = 6  #: of a list and class of sizes
 
 
 # ------------------------------------------------------------------ sets
@@ -52,9 +53,9 @@ def ordered_set(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
-    """Parity of the items by their low bits, in 64-bit words; as many bits as items or up to twice that."""
+    """Parity of the items by their low bits, in 64-bit words; two to four bits for an item."""
     size = 64
-    while size < len(items):
+    while size < 2 * len(items):
         size *= 2
     return np.packbits((np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -242,10 +243,7 @@ def all_links(work: Scratch, lists: DataFrame, bits: DataFrame, whole, percent:
         return links
 
     first = verified(_likely(_hub_pairs(lists, percent).distinct(), bits, percent), "hubs")
-    # any labels do that only linked classes share: the least hub, and that hub's
-    low = first.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("hub"))
-    up = low.select(F.col("cid").alias("hub"), F.col("hub").alias("higher"))
-    labels = work.keep(low.join(up, "hub", "left").select("cid", F.coalesce("higher", "hub").alias("label")), "labels")
+    labels = work.keep(components(work, first, "labels").toDF("cid", "label"), "labels")
     second = verified(_cross_likely(lists, labels, bits, percent), "rest")
     return first.union(second)
 
@@ -311,20 +309,17 @@ def _size_class(n):
     return F.floor(F.log(n) / F.log(F.lit(1.25)))
 
 
-def _fits(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each member with the hubs of its list, one for each class of sizes, of its own class and those beside it.
+    """Each member with the hubs of its list, HUBS for each class of sizes, of its own class and those beside it.
 
-    Hubs are first by one hash for all lists, so that alike sets, which share most lists, share their hub.
+    Hubs are first in their part of one hash for all lists, so that alike sets, which share most lists, share their hubs.
     """
     p = lists.withColumn("z", _size_class("n"))
-    hubs = p.groupBy("list", "z").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub"))
-    near = hubs.select("list", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"), F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
-    pairs = p.join(near, ["list", "z"]).where((F.col("cid") != F.col("hub")) & _fits("n", "hub_n", percent))
-    return pairs.select(F.col("hub").alias("a"), F.col("hub_n").alias("an"), F.col("cid").alias("b"), F.col("n").alias("bn"))
+    hubs = p.groupBy("list", "z", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub"))
+    hubs = hubs.groupBy("list", "z").agg(F.collect_list("hub").alias("hubs"))
+    near = hubs.select("list", "hubs", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"))
+    met = p.join(near, ["list", "z"]).select(F.explode(F.expr(f"filter(hubs, h -> h.cid <> cid and 100 * least(n, h.n) >= {percent} * greatest(n, h.n))")).alias("h"), "cid", "n")
+    return met.select(F.col("h.cid").alias("a"), F.col("h.n").alias("an"), F.col("cid").alias("b"), F.col("n").alias("bn"))
 
 
 def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +342,8 @@ def _cross_likely(lists: DataFrame, labels: DataFrame, bits: DataFrame, percent:
     # two members of small labels meet in both orders; one of them is enough
     fits = f"e.bl <> al and (e.bl = top or a < e.b) and 100 * least(an, e.bn) >= {percent} * greatest(an, e.bn) and {alike('x', 'e.y', 'an', 'e.bn', percent)}"
     met = few.join(packs, "list").select("a", F.expr(f"transform(filter(pack, e -> {fits}), e -> e.b)").alias("bs")).where("size(bs) > 0")
-    return met.select("a", F.explode("bs").alias("b")).distinct()
+    # two sets may meet in many lists
+    return met.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_set("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
 
 
 def _probed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
