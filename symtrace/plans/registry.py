@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from symtrace.plans import archive, search
+
+QUERIES: dict = archive.QUERIES | search.QUERIES
+ORACLE_SQL: dict = archive.ORACLE_SQL | search.ORACLE_SQL
 FLAGSHIP = "grid_roundtrip"
