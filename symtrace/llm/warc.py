@@ -168,6 +168,7 @@ def write_archives(work: Scratch, pages: DataFrame, least: int = 0) -> DataFrame
     groups = long_.groupBy("key").agg(first.alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("first.page_id").alias("refers_to"), F.col("first.place").alias("first"))
     # places of revisits are found without the texts, then meet them by place, which no key makes hot
     again = attach(long_.select("key", "place"), groups, ["key"], "m", max(1, p.count())).where("place <> first").select("place", "refers_to", F.lit(True).alias("revisit"))
+    again = work.keep(again, "again")  # written, so that its size is known and few revisits don't make the pages move
     rows = p.join(again, "place", "left").select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
     folder = work.path("archives")
 
