@@ -10,16 +10,17 @@ from symtrace.functions.symbols import symbols
 
 def compared(df: DataFrame, key: str = "doc_id", original: str = "original", recovered: str = "recovered") -> DataFrame:
     """(key, pos, bad) for each symbol of the original."""
-    pairs = F.arrays_zip(symbols(F.col(original)).alias("a"), symbols(F.col(recovered)).alias("b"))
-    return df.select(key, F.size(symbols(F.col(original))).alias("_n"), F.posexplode(pairs).alias("pos", "p")).where("pos < _n").select(key, "pos", (~F.col("p.a").eqNullSafe(F.col("p.b"))).alias("bad"))
+    d = df.select(key, symbols(F.col(original)).alias("_a"), symbols(F.col(recovered)).alias("_b"))
+    d = d.select(key, F.size("_a").alias("_n"), F.posexplode(F.arrays_zip("_a", "_b")).alias("pos", "p")).where("pos < _n")
+    return d.select(key, "pos", (~F.col("p._a").eqNullSafe(F.col("p._b"))).alias("bad"))
 
 
 def regions(marks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, symbols, wrong, regions, first_bad, last_bad): runs of bad positions by gaps and islands."""
+    """(key, symbols, wrong, regions, first_bad, last_bad): runs of bad positions by gaps and islands; without any, first_bad and last_bad are -1."""
     prev = F.lag("pos").over(Window.partitionBy(key).orderBy("pos"))
     starts = marks.where("bad").withColumn("starts", F.coalesce(F.col("pos") != prev + 1, F.lit(True)))
     bad = starts.groupBy(key).agg(F.count("*").alias("wrong"), F.count_if("starts").alias("regions"), F.min("pos").alias("first_bad"), F.max("pos").alias("last_bad"))
-    return marks.groupBy(key).agg(F.count("*").alias("symbols")).join(bad, key, "left").na.fill(0, ["wrong", "regions"])
+    return marks.groupBy(key).agg(F.count("*").alias("symbols")).join(bad, key, "left").na.fill(0, ["wrong", "regions"]).na.fill(-1, ["first_bad", "last_bad"])
 
 
 def damage_map(marks: DataFrame, width: int = 72, key: str = "doc_id") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import lzma
 import zlib
-from fractions import Fraction
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,10 +25,11 @@ def ngram_bits(df: DataFrame, orders=(0, 1, 2, 3, 4, 5, 6), key: str = "doc_id",
 
     The order's rows of a text share one sort by (context, pos), and one by (context, symbol, pos).
     """
-    per = df.select(key, F.col(text).alias("_t"), symbols(F.col(text)).alias("_s")).withColumn("v", F.size(F.array_distinct("_s")))
-    e = per.select(key, "_t", "v", F.posexplode("_s").alias("pos", "sym"))
+    per = df.select(key, symbols(F.col(text)).alias("_s")).withColumn("v", F.size(F.array_distinct("_s")))
+    e = per.select(key, "_s", "v", F.posexplode("_s").alias("pos", "sym"))
     e = e.withColumn("ord", F.explode(F.array(*map(F.lit, orders))))
-    e = e.withColumn("ctx", F.expr("substring(_t, greatest(pos - ord, 0) + 1, least(ord, pos))")).drop("_t")
+    # a slice of the array, as a substring of a long text would be found by counting from its start
+    e = e.withColumn("ctx", F.expr("array_join(slice(_s, greatest(pos - ord, 0) + 1, least(ord, pos)), '')")).drop("_s")
     seen = F.row_number().over(Window.partitionBy(key, "ord", "ctx").orderBy("pos")) - 1
     same = F.row_number().over(Window.partitionBy(key, "ord", "ctx", "sym").orderBy("pos"))
     return e.withColumn("bits", -F.log2(same / (seen + F.col("v")))).select(key, "pos", "ord", "sym", "bits")
@@ -80,36 +82,39 @@ def lzma_size(text: pd.Series) -> pd.Series:
 
 
 class Intervals:
-    """Order-0 model of a text: each symbol's interval of [0, 1)."""
+    """Order-0 model of a text: each symbol's interval of [0, 1), as whole numbers over the text's length.
+
+    Points are pairs (numerator, denominator), never reduced: at these sizes that is cheaper than common divisors.
+    """
 
     def __init__(self, text: str):
-        total, at = len(text), 0
-        self.of: dict[str, tuple[Fraction, Fraction]] = {}
-        for s in sorted(set(text)):
-            n = text.count(s)
-            self.of[s] = (Fraction(at, total), Fraction(at + n, total))
-            at += n
-
-    def point(self, text: str) -> Fraction:
+        self.total = len(text)
+        self.symbols = sorted(set(text))
+        self.counts = [text.count(s) for s in self.symbols]
+        self.lows = [0, *accumulate(self.counts)][:-1]
+        self.rank = {s: i for i, s in enumerate(self.symbols)}
+
+    def point(self, text: str) -> tuple[int, int]:
         """The low end of the interval that the text narrows [0, 1) to."""
-        low, width = Fraction(0), Fraction(1)
+        low, width, whole = 0, 1, 1
         for s in text:
-            a, b = self.of[s]
-            low, width = low + width * a, width * (b - a)
-        return low
+            i = self.rank[s]
+            low, width, whole = low * self.total + width * self.lows[i], width * self.counts[i], whole * self.total
+        return low, whole
 
-    def text(self, point: Fraction, n: int) -> str:
+    def text(self, point: tuple[int, int], n: int) -> str:
         """n symbols; where no interval holds the point, the last symbol stands in, as for damaged points."""
-        out, order = [], list(self.of.items())
+        (p, q), out = point, []
         for _ in range(n):
-            s, (a, b) = next(((s, ab) for s, ab in order if ab[0] <= point < ab[1]), order[-1])
-            out.append(s)
-            point = (point - a) / (b - a)
+            at = p * self.total // q
+            i = bisect_right(self.lows, at) - 1 if 0 <= at < self.total else len(self.symbols) - 1
+            out.append(self.symbols[i])
+            p, q = p * self.total - self.lows[i] * q, q * self.counts[i]
         return "".join(out)
 
 
-def cut(point: Fraction, bits: int) -> Fraction:
-    return Fraction((point * 2**bits).__floor__(), 2**bits)
+def cut(point: tuple[int, int], bits: int) -> tuple[int, int]:
+    return (point[0] << bits) // point[1], 1 << bits
 
 
 def interval_sweep(df: DataFrame, budgets=(200, 400, 800, 1200), key: str = "doc_id", text: str = "text", length: int = 240) -> DataFrame:

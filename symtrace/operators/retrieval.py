@@ -91,8 +91,8 @@ def occurrences(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     lengths = [r[0] for r in queries.select(F.length("query")).distinct().collect()]  # the query lengths
     out = None
     for q in sorted(lengths):
-        at = df.where(F.length(text) >= q).select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(1), F.length(text) - (q - 1))).alias("_s"))
-        grams = at.select(key, (F.col("_s") + (q - 1)).alias("pos"), F.substring("_t", F.col("_s"), F.lit(q)).alias("query"))
+        at = df.where(F.length(text) >= q).select(key, F.split(text, "").alias("_s")).select(key, "_s", F.explode(F.sequence(F.lit(q), F.size("_s"))).alias("pos"))
+        grams = at.select(key, "pos", F.array_join(F.slice("_s", F.col("pos") - (q - 1), F.lit(q)), "").alias("query"))
         one = grams.join(queries.where(F.length("query") == q), "query").select("query_id", F.lit(q).alias("q"), key, "pos")
         out = one if out is None else out.unionByName(one)
     return out
@@ -130,8 +130,8 @@ def decay(index: DataFrame, partner: Column, texts: DataFrame, ratio: float, the
     """(suffix, n, median_distance, theory): pairs of points of one text, pos with ``partner``, by their common suffix."""
     a = index.select(key, "pos", "x", "y", partner.cast("int").alias("other"))
     b = index.select(key, F.col("pos").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    p = a.where("pos <> other").join(b, [key, "other"]).join(texts.select(key, "text"), key)
-    last = lambda pos: F.reverse(F.split(F.substring("text", F.greatest(F.col(pos) - cap + 1, F.lit(1)), F.least(F.col(pos), F.lit(cap))), ""))
+    p = a.where("pos <> other").join(b, [key, "other"]).join(texts.select(key, F.split("text", "").alias("_s")), key)
+    last = lambda pos: F.reverse(F.slice("_s", F.greatest(F.col(pos) - cap + 1, F.lit(1)), F.least(F.col(pos), F.lit(cap))))
     p = p.withColumn("suffix", common_suffix(last("pos"), last("other"), cap)).withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)))
     if not keep_zero:
         p = p.where("d > 0")

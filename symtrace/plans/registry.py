@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from symtrace.plans import archive, search
+from symtrace.plans import archive, measures, search
 
-QUERIES: dict = archive.QUERIES | search.QUERIES
-ORACLE_SQL: dict = archive.ORACLE_SQL | search.ORACLE_SQL
+QUERIES: dict = archive.QUERIES | search.QUERIES | measures.QUERIES
+ORACLE_SQL: dict = archive.ORACLE_SQL | search.ORACLE_SQL | measures.ORACLE_SQL
 FLAGSHIP = "grid_roundtrip"

@@ -140,7 +140,8 @@ _WINDOWED = """ring AS (SELECT doc_id, pos, {x} AS x, {y} AS y FROM c WINDOW w A
 _BACK = 14
 _LAGS = lambda v: " + ".join(f"(1 - r) * pow(r, {j}) * coalesce(lag({v}, {j}) OVER w, 0)" for j in range(_BACK))
 _RING = _WINDOWED.format(x=_LAGS("vx"), y=_LAGS("vy"))
-_GRAMS = "gr AS (SELECT doc_id, l, unnest(range(0, len(s) - l + 1)) AS p, s FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents), unnest([6, 8, 12]) t(l) WHERE len(s) >= l), oc AS (SELECT query_id, doc_id, p + l AS pos FROM gr JOIN q ON q.q = gr.l AND q.query = array_to_string(s[p + 1 : p + l], ''))"
+_LEADS = lambda l: " || ".join(["sym", *(f"lead(sym, {j}) OVER w" for j in range(1, l))])
+_GRAMS = "ss AS (SELECT doc_id, unnest(s) AS sym, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents)), gr AS (SELECT doc_id, pos, " + ", ".join(f"{_LEADS(l)} AS g{l}" for l in LENGTHS) + " FROM ss WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), oc AS (" + " UNION ALL ".join(f"SELECT query_id, doc_id, pos + {l - 1} AS pos FROM gr JOIN q ON q.q = {l} AND q.query = g{l}" for l in LENGTHS) + ")"
 _RQ = "rq AS (SELECT query_id, q, sum((1 - r) * pow(r, q - j) * vx) AS qx, sum((1 - r) * pow(r, q - j) * vy) AS qy, 2 * pow(max(r), q) + 1e-12 AS tau, count(*) AS m FROM (SELECT query_id, q, unnest(range(1, q + 1)) AS j, query FROM q) e JOIN v ON v.sym = substring(query, j::BIGINT, 1) GROUP BY query_id, q HAVING count(*) = q)"
 
 ORACLE_SQL = {
