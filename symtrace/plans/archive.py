@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from symtrace.functions.symbols import with_geometry, with_ids
 from symtrace.operators import grid, pack, ring
 from symtrace.operators.reports import memory_bytes
-from symtrace.sources.corpus import table
+from symtrace.sources.corpus import spread, table
 
 long, double = "bigint", "double"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def alphabet_stats(spark, sf_dir):

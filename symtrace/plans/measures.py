@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from symtrace.operators import damage, pack, quantize, rates, reports, tokens
 from symtrace.plans.archive import SYMBOLS
-from symtrace.sources.corpus import table
+from symtrace.sources.corpus import spread, table
 
 long = "bigint"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def ngram_rate(spark, sf_dir):

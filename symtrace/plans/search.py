@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symtrace.functions.symbols import kissing_ratio
 from symtrace.operators import retrieval as R
-from symtrace.sources.corpus import table
+from symtrace.sources.corpus import spread, table
 
 long = "bigint"
 #: Fixed value: lengths of the queries that are cut from benchmark items.
@@ -17,7 +17,7 @@ LENGTHS = (6, 8, 12)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _queries(spark: SparkSession, sf_dir: str, lengths=LENGTHS) -> DataFrame:

@@ -24,7 +24,7 @@ def between(text: Column, start: str | None, end: str | None) -> Column:
     if end:
         at = F.locate(end, text)
         head = F.substring(text, F.lit(1), at - 1)
-        text = F.when(at > 0, F.regexp_replace(head, "[^\\n]*$", "")).otherwise(text)
+        text = F.when(at > 0, F.regexp_replace(head, "[^\\n]*\\z", "")).otherwise(text)
     return text
 
 
@@ -41,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of fewer files than cores to all cores; tables of many files stay as they are.
+
+    Encoding is work for the processor, so one small file would otherwise keep one core busy and leave the others idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def layers(df: DataFrame, layout: str) -> DataFrame:
     """Key-value caches of three layouts as (layer, head, kv, pos, vec).
 
