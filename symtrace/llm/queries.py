@@ -99,4 +99,19 @@ WITH d AS (SELECT row_number() OVER () AS place, doc_id, length(coalesce(text, '
 SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER g = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, place)""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT place, array_to_string(w[p : p + 4], ' ') AS shingle FROM (SELECT place, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT place, count(*) AS n FROM s GROUP BY place),
+b AS (SELECT x.place AS a, y.place AS b, count(*) AS m FROM s x JOIN s y USING (shingle) WHERE x.place <> y.place GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON x.place = a JOIN n y ON y.place = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+r(place, seen) AS (SELECT place, place FROM n UNION SELECT r.place, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT r.place, min(d.doc_id) AS component_id FROM r JOIN d ON d.place = r.seen GROUP BY r.place)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (place) LEFT JOIN c USING (place)""",
+    "op10_warc": r"""
+WITH p AS (SELECT row_number() OVER () AS place, page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT place, array_to_string(list_transform(range(1, 41), lambda j: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', h[j])]), '') AS bits FROM p),
+e AS (SELECT place, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT, 1)), '') AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN row_number() OVER g = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN row_number() OVER g > 1 THEN first_value(page_id) OVER g END AS refers_to
+FROM p JOIN e USING (place) WINDOW g AS (PARTITION BY h ORDER BY page_id NULLS LAST, p.place)""",
 }

@@ -64,7 +64,7 @@ def bands_of(items: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame, min_words: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -118,7 +118,7 @@ def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int)
 def _items(docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
     """(cid, n, items, bits): whole sets of the wanted classes, made again from one occurrence of each."""
     spots = found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("place", "line")).alias("at")).select(F.col("at.place").alias("place"), "cid")
-    texts = docs.select(F.monotonically_increasing_id().alias("place"), F.col("text").cast("string").alias("text")).join(spots.groupBy("place").agg(F.collect_list("cid").alias("cids")), "place")
+    texts = docs.select(F.col("_place").alias("place"), F.col("text").cast("string").alias("text")).join(spots.groupBy("place").agg(F.collect_list("cid").alias("cids")), "place")
 
     def run(batches):
         for batch in batches:
@@ -145,7 +145,10 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
     """
     spark = docs.sparkSession
     work = Scratch(spark, "substring-dedup")
-    docs = work.keep(docs.select("doc_id", "text"), "texts") if not docs.inputFiles() else docs
+    if "_place" not in docs.columns:
+        # a scan gives its rows the same places each time; anything else is written first
+        scan = docs.select("doc_id", "text")
+        docs = (scan if docs.inputFiles() else work.keep(scan, "texts")).withColumn("_place", F.monotonically_increasing_id())
     found = work.keep(_found(docs, min_words), "found")
     total = found.count()
     lists = work.keep(_posted(docs, k, min_words, per_group, total), "lists")
@@ -162,3 +165,13 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
     return out.select("place", "doc_id", "line", "first", "last", "n_words", "cluster", "occurrences", F.col("best.doc_id").alias("keep_doc_id"), (~stays).alias("removed"))
 
 
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """The rows with their removals cut out of the text, line by line; rows without removals pass through untouched."""
+    work = Scratch(docs.sparkSession, "substring-cut")
+    own = work.keep(docs.withColumn("_place", F.monotonically_increasing_id()), "rows")
+    cut = work.keep(repeats(own, **options).where("removed").groupBy(F.col("place").alias("_place")).agg(F.collect_set("line").alias("_cut")), "cut")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("_cut", e["i"]))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda e: e["x"]), "\n"))
+    return own.join(cut, "_place", "left").withColumn("text", text).select(docs.columns)
