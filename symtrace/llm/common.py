@@ -7,6 +7,7 @@ absent, as in tests on one machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,9 @@ class Scratch:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        # shuffle files of plans that nothing refers to any more go with the objects that stand for them
+        gc.collect()
+        jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,6 +80,14 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total:
     return df.join(hot, keys).unionByName(df.join(hot.select(*keys), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
 
 
+BROADCAST_KEYS = 1_000_000  #: rows of a few numbers each, below 50 MB
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys, marked for broadcast if it is counted to be small; else a join on it shuffles."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 # ------------------------------------------------------------------ hashing of texts in numpy
 
 _U = np.uint64

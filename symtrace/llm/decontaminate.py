@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import NOT_WORD, Scratch, ascii_lower
+from symtrace.llm.common import NOT_WORD, Scratch, ascii_lower, bounded
 
 BROADCAST_ROWS = 200_000  #: of 8 bytes each
 
@@ -106,5 +106,6 @@ def _summed(work: Scratch, hits: DataFrame, win: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows without a hit, with all their columns."""
-    bad = decontaminate(docs, items, window).where("n_hit > 0").select("text_key").distinct()
+    work = Scratch(docs.sparkSession, "decontaminate-rows")
+    bad = bounded(work.keep(decontaminate(docs, items, window).where("n_hit > 0").select("text_key").distinct(), "bad"))
     return docs.join(bad, text_key() == bad["text_key"], "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, mix, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import SPACE_BYTES, Scratch, attach, bounded, components, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 WIDTH = 20  #: bits of the count sketch; its size, and the broadcast's, is 2 ** WIDTH cells
 CHUNK = 1024  #: members that meet their hub in one group
@@ -222,7 +222,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = work.keep(filled.groupBy("cid").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "classes")
     lists = work.keep(lists.join(reps.select("cid", "n"), "cid").select("list", "cid", "n"), "lists")
     bits = work.keep(filled.select("cid", "bits").join(lists.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "bits")
-    links = all_links(work, lists, bits, lambda likely: _whole_sets(base, reps, likely, crowded, k), percent)
+    sets = work.keep(sets.select("doc_id", "text_key", "n", "cid"), "rows")
+    filled = sets.where("n > 0")
+    work.drop("sets", "postings")
+    links = all_links(work, lists, bits, lambda likely: _whole_sets(work, base, reps, likely, crowded, k), percent)
     roots = work.keep(components(work, links, "components"), "roots")
     named = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -355,10 +358,10 @@ def _probed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return members.union(hubs).groupBy("a", "salt").applyInPandas(_probe(percent), "a long, b long")
 
 
-def _whole_sets(base: DataFrame, reps: DataFrame, pairs: DataFrame, crowded, k: int) -> DataFrame:
+def _whole_sets(work: Scratch, base: DataFrame, reps: DataFrame, pairs: DataFrame, crowded, k: int) -> DataFrame:
     """Whole ordered sets of the classes in pairs, made again from one text of each."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = reps.join(ids, "cid", "left_semi").select("text_key")
+    keys = bounded(work.keep(reps.join(ids, "cid", "left_semi").select("text_key"), "keys"))
     texts = base.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
 
     def whole(batches):
@@ -374,9 +377,16 @@ def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with one doc_id and different texts are told apart by their text; of rows equal in both, one stays.
     """
-    own = ngram_join(docs, k, percent)
-    best = own.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
-    keep = best.select("best.doc_id", "best.text_key").union(own.where("n_shingles = 0").select("doc_id", "text_key")).distinct().toDF("_id", "_key")
+    work = Scratch(docs.sparkSession, "ngram-distinct")
+    own = work.keep(ngram_join(docs, k, percent).select("doc_id", "text_key", "n_shingles", "root"), "own")
+    best = own.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.count("*").alias("m")).where("m > 1").select("root", "best.doc_id", "best.text_key")
+    in_groups = own.where("n_shingles > 0").join(best.select("root"), "root", "left_semi")
+    stays = in_groups["root"].eqNullSafe(best["root"]) & in_groups["doc_id"].eqNullSafe(best["doc_id"]) & (in_groups["text_key"] == best["text_key"])
+    # what goes is less than what stays, so the texts that stay needn't move for it
+    goes = bounded(work.keep(in_groups.join(best, stays, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "goes"))
     rows = docs.withColumn("_own_key", F.xxhash64(F.col("text").cast("string")))
-    same = rows["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (rows["_own_key"] == keep["_key"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_own_key"]).select(docs.columns)
+    same = rows["doc_id"].cast("long").eqNullSafe(goes["_id"]) & (rows["_own_key"] == goes["_key"])
+    kept = rows.join(goes, same, "left_anti")
+    if not own.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own_key"])
+    return kept.select(docs.columns)
