@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents queue in an order shuffled by hash, once and then again for every further
+Each source's documents queue in an order shuffled by a hash of id and text, once and then again for every further
 epoch. A document's virtual start and finish are its source's words before and through it, divided by
 the source's target, which is its weight's share of the budget after targets above ``epochs`` times a
 source's size are cut and their excess reshared. All queues run at once, so the mix is everything in
@@ -13,7 +13,7 @@ with a third of all rows is spread like the rest.
 
 Defined cases: null and empty texts have size 0 and give nothing; a null source is a source, the last
 in order; the same doc_id twice makes two documents; a table without words has targets of 0; extra
-columns are carried by ``mixed_rows``, ignored otherwise.
+columns are carried by ``mix`` unless it makes a column of their name, ignored otherwise.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: int = 2,
 
 def _sized(work: Scratch, docs: DataFrame, weights, share, epochs, seed) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "doc_id", "source", "size", "source_size", "target", "epoch", "taken", "finish", "h", "n", "before", "range")]
-    rows = docs.select(F.col("doc_id"), F.col("source"), *own, size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"))
+    rows = docs.select(F.col("doc_id"), F.col("source"), *own, size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"))
     rows = work.keep(rows, "sizes")
     return _queued(work, rows, targets(work, rows, weights, share, epochs))
 
