@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import Scratch, attach
+from symtrace.llm.common import Scratch, attach, lean
 
 BLOCK_BITS = 1 << 13  #: bits of a block of the filter
 BITS_PER_ROW = 16
@@ -41,6 +41,7 @@ def _places(h: np.ndarray) -> list[np.ndarray]:
 
 def _first_pass(hashes: DataFrame, blocks: int) -> DataFrame:
     """(block, again): blocks in which some bit is set by two rows; ``again`` as 64-bit words."""
+
     def fill(batches):
         # what one task has seen: (block, bit) once, and those seen twice
         got = [np.asarray(b.column("h").to_numpy(), np.int64).view(np.uint64) for b in batches]
@@ -70,7 +71,7 @@ def _first_pass(hashes: DataFrame, blocks: int) -> DataFrame:
                 out_w.append(np.packbits(n > 1, bitorder="little").view(np.int64))
         return pa.table({"block": pa.array(out_b, pa.int64()), "again": pa.array([w.tolist() for w in out_w], pa.list_(pa.int64()))})
 
-    filled = hashes.select("h").mapInArrow(fill, "block long, once binary, twice binary")
+    filled = hashes.select("h").mapInArrow(lean(fill), "block long, once binary, twice binary")
     return filled.groupBy((F.col("block") / 256).cast("long").alias("g")).applyInArrow(merge, "block long, again array<long>")
 
 

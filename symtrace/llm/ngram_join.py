@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import SPACE_BYTES, Scratch, attach, bounded, components, mix, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import SPACE_BYTES, Scratch, attach, bounded, components, lean, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 WIDTH = 20  #: bits of the count sketch; its size, and the broadcast's, is 2 ** WIDTH cells
 CHUNK = 1024  #: members that meet their hub in one group
@@ -94,7 +94,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
             total += np.frombuffer(x, np.uint32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "block int, part int, counts binary").withColumn("part", F.spark_partition_id() % 256)
+    parts = docs.select("text").mapInArrow(lean(count), "block int, part int, counts binary").withColumn("part", F.spark_partition_id() % 256)
     sums = parts.groupBy("block", "part").applyInArrow(add, "block int, part int, counts binary").groupBy("block").applyInArrow(add, "block int, part int, counts binary")
     total = np.zeros(cells, np.int64)
     for r in sums.toLocalIterator():
@@ -215,7 +215,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                     bits[i] = bitmap(s)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n), "cid": pa.array(cid), "prefix": pa.array(prefix, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    sets = work.keep(base.mapInArrow(to_sets, "doc_id long, text_key long, n long, cid long, prefix binary, bits array<long>"), "sets")
+    sets = work.keep(base.mapInArrow(lean(to_sets), "doc_id long, text_key long, n long, cid long, prefix binary, bits array<long>"), "sets")
     filled = sets.where("n > 0")
     total, items = filled.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
     lists = _posting_lists(work, filled, crowded, int(items))
@@ -301,8 +301,8 @@ def _posting_lists(work: Scratch, filled: DataFrame, crowded, items: int, per_gr
             yield pa.record_batch({"token": pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)), "cid": pa.array(np.repeat(batch.column("cid").to_numpy(), [len(x) for x in flat]))})
 
     rows = filled.select("cid", "prefix")
-    cold = rows.mapInArrow(pack, "g long, token binary, owner binary").groupBy("g").applyInArrow(shared, "token long, cid long")
-    postings = work.keep(cold.union(rows.mapInArrow(hot, "token long, cid long").distinct()), "postings")
+    cold = rows.mapInArrow(lean(pack), "g long, token binary, owner binary").groupBy("g").applyInArrow(shared, "token long, cid long")
+    postings = work.keep(cold.union(rows.mapInArrow(lean(hot), "token long, cid long").distinct()), "postings")
     alike = postings.groupBy("token").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 1))").alias("y")).where("m > 1")
     kept = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"))
     return postings.join(kept.select("token"), "token", "left_semi").select(F.col("token").alias("list"), "cid")
@@ -369,7 +369,7 @@ def _whole_sets(work: Scratch, base: DataFrame, reps: DataFrame, pairs: DataFram
             got = [ordered_set(shingle_hashes(words, k), crowded.value) for _, words in _each_text(batch, "text")]
             yield pa.record_batch({"cid": pa.array([_class_of(s) for s in got], pa.int64()), "n": pa.array([len(s) for s in got], pa.int64()), "items": pa.array([s.tobytes() for s in got], pa.binary())})
 
-    return texts.select("text").mapInArrow(whole, "cid long, n long, items binary")
+    return texts.select("text").mapInArrow(lean(whole), "cid long, n long, items binary")
 
 
 def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

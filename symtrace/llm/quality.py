@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symtrace.llm.calibrate import fit_isotonic, held_out, one_label
-from symtrace.llm.common import SPACE_BYTES, Scratch, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import SPACE_BYTES, Scratch, lean, shingle_hashes, slices, text_bytes, word_hashes
 
 #: Classes of bytes that are counted.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\x0b\x0c\r", "line": b"\n", "stop": b".", "pause": b",;:", "loud": b"!?", "mark": b"#$%&*+=@^~\\", "frame": b"|<>[]{}_/", "quote": b"\"'()-`"}
@@ -55,7 +55,7 @@ def _stats(docs: DataFrame) -> DataFrame:
                     out[lo + i] = statistics(data[at[i] : at[i + 1]], words[rows[i] : rows[i + 1]])
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(out[:, j]) for j in range(len(STATS)))], names=["doc_id", *STATS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} float" for s in STATS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{s} float" for s in STATS))
 
 
 class Model:
@@ -100,7 +100,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "sums": pa.array([np.sum(got, 0).tobytes()], pa.binary())})
 
     schema = "piece int, part int, sums binary"
-    parts = rows.mapInArrow(run, schema).withColumn("part", F.spark_partition_id() % 64)
+    parts = rows.mapInArrow(lean(run), schema).withColumn("part", F.spark_partition_id() % 64)
     got = parts.groupBy("piece", "part").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema).collect()
     if not got:
         return np.zeros((size, size))
@@ -129,7 +129,7 @@ def train(stats: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), f
             yield pa.record_batch({"raw": pa.array(model.raw(_matrix(batch))), "label": batch.column("label")})
 
     fair = known.where("calibrates")
-    model.iso = fit_isotonic(fair.select(*STATS, "label").mapInArrow(raw, "raw double, label double"), -0.5, 1.5)
+    model.iso = fit_isotonic(fair.select(*STATS, "label").mapInArrow(lean(raw), "raw double, label double"), -0.5, 1.5)
     return model
 
 
@@ -143,7 +143,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (
         for batch in batches:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(model.score(_matrix(batch)))})
 
-    return stats.mapInArrow(score, "doc_id long, score double").withColumn("held_out", held_out("doc_id", *held)).select("doc_id", "held_out", "score")
+    return stats.mapInArrow(lean(score), "doc_id long, score double").withColumn("held_out", held_out("doc_id", *held)).select("doc_id", "held_out", "score")
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5, held: tuple[int, int] = (3, 1), **options) -> DataFrame:
@@ -162,6 +162,6 @@ def good_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5, held: tupl
                     out[lo + i] = statistics(data[at[i] : at[i + 1]], words[rows[i] : rows[i + 1]])
             yield batch.filter(pa.array(model.score(out) >= least))
 
-    return docs.mapInArrow(choose, schema)
+    return docs.mapInArrow(lean(choose), schema)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import slices, text_bytes
+from symtrace.llm.common import lean, slices, text_bytes
 
 #: Kinds in order, and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
@@ -125,4 +125,4 @@ def secrets(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "found": pa.array(out, kind)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, found array<struct<start:int,end:int,kind:string,base:boolean>>")
+    return rows.mapInArrow(lean(run), "doc_id long, found array<struct<start:int,end:int,kind:string,base:boolean>>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, mix, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, lean, mix, shingle_hashes, slices, text_bytes, word_hashes
 from symtrace.llm.ngram_join import all_links, bitmap
 
 BANDS, ROWS = 20, 4
@@ -71,7 +71,7 @@ def _found(docs: DataFrame, min_words: int) -> DataFrame:
             pick = pa.array(cols[0], pa.int64())
             yield pa.record_batch({"place": batch.column("place").take(pick), "doc_id": batch.column("doc_id").take(pick), "line": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int64()), "last": pa.array(cols[3], pa.int64()), "n_words": pa.array(cols[4], pa.int32()), "cid": pa.array(cols[5], pa.int64())})
 
-    return rows.mapInArrow(run, "place long, doc_id long, line int, first long, last long, n_words int, cid long")
+    return rows.mapInArrow(lean(run), "place long, doc_id long, line int, first long, last long, n_words int, cid long")
 
 
 def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int)
         return pa.table({"list": pa.array(token[keep].view(np.int64)), "cid": pa.array(owner[keep]), "n": pa.array(size[keep].astype(np.int64))})
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pack, "g long, token binary, owner binary, size binary").groupBy("g").applyInArrow(shared, "list long, cid long, n long")
+    return rows.mapInArrow(lean(pack), "g long, token binary, owner binary, size binary").groupBy("g").applyInArrow(shared, "list long, cid long, n long")
 
 
 def _items(docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _items(docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_wor
                     bits.append(bitmap(s))
             yield pa.record_batch({"cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "items": pa.array(items, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return texts.select("text", "cids").mapInArrow(run, "cid long, n long, items binary, bits array<long>")
+    return texts.select("text", "cids").mapInArrow(lean(run), "cid long, n long, items binary, bits array<long>")
 
 
 def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, per_group: int = 1_000_000) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symtrace.llm.calibrate import fit_isotonic, held_out, one_label
-from symtrace.llm.common import Scratch
+from symtrace.llm.common import Scratch, lean
 
 #: The seed list, phrases in which its words are harmless, and what is folded to what.
 SEED = ("bastard", "bitch", "clown", "cretin", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -129,7 +129,7 @@ def _stems(known: DataFrame) -> DataFrame:
         if stems:
             yield pa.record_batch({"stem": pa.array(stems), "clean": pa.array([seen[0][s] for s in stems], pa.int64()), "toxic": pa.array([seen[1][s] for s in stems], pa.int64())})
 
-    rows = known.select("text", "label").mapInArrow(run, "stem string, clean long, toxic long")
+    rows = known.select("text", "label").mapInArrow(lean(run), "stem string, clean long, toxic long")
     return rows.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -167,7 +167,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: tuple[int, int] =
             raw = [shared.value.raw(t or "", power) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": pa.array(raw, pa.float64())})
 
-    raw = work.keep(rows.mapInArrow(weigh, "doc_id long, raw double"), "raw")
+    raw = work.keep(rows.mapInArrow(lean(weigh), "doc_id long, raw double"), "raw")
     work.drop("sample")
     iso = fit_isotonic(raw.join(known_ids, "doc_id").select("raw", "label"), 0.0, 1.0) if n else None
 
@@ -177,4 +177,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: tuple[int, int] =
             s = iso(x) if iso is not None else x
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "score": pa.array(np.clip(s, 0.0, 1.0))})
 
-    return raw.mapInArrow(score, "doc_id long, raw double, score double").withColumn("held_out", held_out("doc_id", *held)).select("doc_id", "held_out", "score", "raw")
+    return raw.mapInArrow(lean(score), "doc_id long, raw double, score double").withColumn("held_out", held_out("doc_id", *held)).select("doc_id", "held_out", "score", "raw")

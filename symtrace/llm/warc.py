@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import Scratch, attach
+from symtrace.llm.common import Scratch, attach, lean
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RANGE = 4 << 20  #: bytes of records that are read at once
@@ -193,7 +193,7 @@ def write_archives(work: Scratch, pages: DataFrame, least: int = 0) -> DataFrame
                 z.close()
             yield pa.record_batch({"path": pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), "records": pa.array([len(parts)], pa.int64())})
 
-    return work.keep(rows.mapInArrow(pack, "path string, records long"), "written")
+    return work.keep(rows.mapInArrow(lean(pack), "path string, records long"), "written")
 
 
 def _opened(uri: str):
@@ -231,7 +231,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.record_batch({c: pa.array([g[c] for g in got], kinds.get(c, pa.string())) for c in names})
 
     ranges = archives.select("path").mapInArrow(locate, "path string, offsets array<long>, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.element_at("offsets", 1)).mapInArrow(read, RECORD + ", payload binary" * payloads)
+    return ranges.repartition(F.col("path"), F.element_at("offsets", 1)).mapInArrow(lean(read), RECORD + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, least: int = 0, payloads: bool = False) -> DataFrame:
