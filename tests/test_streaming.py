@@ -1,6 +1,7 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from symtrace.functions.symbols import symbols
+from symtrace.functions.symbols import geometry
 from symtrace.operators import ring
 from symtrace.streaming.append import age_out, append_tokens
 
@@ -23,18 +24,14 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema("conv_id long, tok_no long, token string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = _run(append_tokens(stream, alphabet), "grown", "update")
     last = got.groupBy("conv_id", "span_no").agg(F.max(F.struct("version", "c", "x", "y")).alias("v")).select("conv_id", "span_no", "v.c", "v.x", "v.y")
-    # all histories share the alphabet, so the batch is encoded with the same one: a text of all symbols fixes the geometry
-    n = len(alphabet)
     assert last.agg(F.sum("c")).first()[0] == sum(map(len, whole.values()))
-    from symtrace.functions.symbols import geometry
-
-    g = geometry(spark, most=n).where(F.col("n") == n)
-    parts = last.withColumn("ax", F.lag("x", 1, 0.0).over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("conv_id").orderBy("span_no"))).withColumn("ay", F.lag("y", 1, 0.0).over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("conv_id").orderBy("span_no"))).crossJoin(g.select("n", "ratio", "vx", "vy"))
+    # all histories share the alphabet that was fixed up front, so they share its geometry
+    g = geometry(spark, most=len(alphabet)).where(F.col("n") == len(alphabet)).select("n", "ratio", "vx", "vy")
+    parts = ring.previous_point(last, "conv_id").crossJoin(g)
     texts = {}
     for r in ring.decode_spans(parts).orderBy("conv_id", "span_no").collect():
         texts[r.conv_id] = texts.get(r.conv_id, "") + "".join(alphabet[i] for i in r.out)
     assert texts == whole
-    assert symbols is not None
 
 
 def test_age_out(spark, tmp_path):
