@@ -18,8 +18,9 @@ the UTF-8 text, and lines by number.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, lean, mix, shingle_hashes, slices, text_bytes, word_hashes
@@ -27,23 +28,35 @@ from symtrace.llm.ngram_join import all_links, bitmap
 
 BANDS, ROWS = 20, 4
 MIN_WORDS = 20
+SPAN = 50  #: words of the shortest span
+GRAM = 20  #: words of a seed
 
 _SEEDS, _ODD = np.random.default_rng(77).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
-def paragraphs(batch: pa.RecordBatch, min_words: int):
-    """(row, line, first byte, last byte, word hashes) of every paragraph."""
+def _hashed(batch: pa.RecordBatch):
+    """(first row, offsets of the rows' bytes, offsets of the lines' bytes, word hashes, offsets of the lines' words) of runs of rows."""
     texts = batch.column("text")
     for lo, hi in slices(texts):
         data, at = text_bytes(texts.slice(lo, hi - lo))
         edges = np.union1d(np.flatnonzero(data == 10) + 1, at)
         words, rows = word_hashes(data, edges, SPACE_BYTES)
-        owner = np.searchsorted(at, edges[:-1], side="right") - 1
-        first = np.searchsorted(edges, at)
-        for j in np.flatnonzero(np.diff(rows) >= min_words):
-            i = int(owner[j])
-            yield lo + i, int(j - first[i]), int(edges[j] - at[i]), int(edges[j + 1] - at[i]), words[rows[j] : rows[j + 1]]
+        yield lo, at, edges, words, rows
+
+
+def _lines(lo: int, at: np.ndarray, edges: np.ndarray, words: np.ndarray, rows: np.ndarray, min_words: int):
+    owner = np.searchsorted(at, edges[:-1], side="right") - 1
+    first = np.searchsorted(edges, at)
+    for j in np.flatnonzero(np.diff(rows) >= min_words):
+        i = int(owner[j])
+        yield lo + i, int(j - first[i]), int(edges[j] - at[i]), int(edges[j + 1] - at[i]), words[rows[j] : rows[j + 1]]
+
+
+def paragraphs(batch: pa.RecordBatch, min_words: int):
+    """(row, line, first byte, last byte, word hashes) of every paragraph."""
+    for part in _hashed(batch):
+        yield from _lines(*part, min_words)
 
 
 def class_of(words: np.ndarray) -> int:
@@ -74,33 +87,72 @@ def _found(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(lean(run), "place long, doc_id long, line int, first long, last long, n_words int, cid long")
 
 
-def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int) -> DataFrame:
-    """(list, cid, n): the classes that share a band with another. Bands are dealt as packed arrays by ranges of the hash."""
+def _dealt(group: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
+    """One row for each group, with its part of every array as bytes; the order within a group stays."""
+    o = np.argsort(group, kind="stable")
+    group = group[o]
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    end = np.r_[cut[1:], len(group)] if len(group) else cut
+    return pa.record_batch({"g": pa.array(group[cut].astype(np.int64))} | {name: pa.array([x[a:b].tobytes() for a, b in zip(cut, end)], pa.binary()) for name, x in ((name, x[o]) for name, x in arrays.items())})
+
+
+def _joined(t, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in kinds.items()]
+
+
+def _range_of(token: np.ndarray, groups: int) -> np.ndarray:
+    return (((token >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+
+
+def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int, n_words: int) -> DataFrame:
+    """(list, cid, n): the classes that share a band with another; and, with a null list, (place, word) of seeds that occur twice or more.
+
+    Bands and seeds are dealt as packed arrays by ranges of the hash. A seed that a batch holds twice goes on at once, and
+    only a mark of it is dealt, so a seed of all texts has a row a batch in its group.
+    """
     groups = max(1, -(-total * BANDS // per_group))
+    ranges = max(1, -(-n_words * 2 // (SPAN - GRAM + 2) // per_group))
 
     def pack(batches):
         for batch in batches:
             token, owner, size, seen = [], [], [], set()
-            for _, _, _, _, w in paragraphs(batch, min_words):
-                c = class_of(w)
-                if c not in seen:
-                    seen.add(c)
-                    items = np.unique(shingle_hashes(w, k))
-                    token.append(bands_of(items))
-                    owner.append(c)
-                    size.append(len(items))
-            if not owner:
-                continue
-            token, owner, size = np.concatenate(token), np.repeat(np.array(owner, np.int64), BANDS), np.repeat(np.array(size, np.int32), BANDS)
-            group = (((token >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
-            o = np.argsort(group, kind="stable")
-            group, token, owner, size = group[o], token[o], owner[o], size[o]
-            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            end = np.r_[cut[1:], len(group)]
-            yield pa.record_batch({"g": pa.array(group[cut])} | {name: pa.array([x[a:b].tobytes() for a, b in zip(cut, end)], pa.binary()) for name, x in (("token", token), ("owner", owner), ("size", size))})
-
-    def shared(t):
-        token, owner, size = (np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in (("token", np.uint64), ("owner", np.int64), ("size", np.int32)))
+            seed, place, word = [], [], []
+            places = batch.column("place").to_numpy()
+            for part in _hashed(batch):
+                for _, _, _, _, w in _lines(*part, min_words):
+                    c = class_of(w)
+                    if c not in seen:
+                        seen.add(c)
+                        items = np.unique(shingle_hashes(w, k))
+                        token.append(bands_of(items))
+                        owner.append(c)
+                        size.append(len(items))
+                lo, at, edges, words, rows = part
+                starts = rows[np.searchsorted(edges, at)]
+                gram, spot = seeds_of(words, starts)
+                row = np.searchsorted(starts, spot, side="right") - 1
+                seed.append(gram)
+                place.append(places[lo + row])
+                word.append((spot - starts[row]).astype(np.int32))
+            if owner:
+                yield _dealt(_range_of(np.concatenate(token), groups), token=np.concatenate(token), owner=np.repeat(np.array(owner, np.int64), BANDS), size=np.repeat(np.array(size, np.int32), BANDS))
+            if sum(map(len, seed)):
+                seed, place, word = np.concatenate(seed), np.concatenate(place), np.concatenate(word)
+                o = np.argsort(seed, kind="stable")
+                seed, place, word = seed[o], place[o], word[o]
+                new = np.r_[True, seed[1:] != seed[:-1]]
+                twice = ~new | np.r_[~new[1:], False]
+                yield _dealt(-1 - ranges - _range_of(mix(place[twice].view(np.uint64)), ranges), token=seed[twice], owner=place[twice], size=word[twice])
+                yield _dealt(-1 - _range_of(seed[new], ranges), token=seed[new], owner=np.where(twice, -1, place)[new], size=word[new])
+
+    def shared(key, t):
+        token, owner, size = _joined(t, token=np.uint64, owner=np.int64, size=np.int32)
+        if (g := key[0].as_py()) < 0:
+            if g >= -ranges:
+                _, which, n = np.unique(token, return_inverse=True, return_counts=True)
+                keep = (n[which] > 1) & (owner >= 0)
+                owner, size = owner[keep], size[keep]
+            return pa.table({"list": pa.nulls(len(owner), pa.int64()), "cid": pa.array(owner), "n": pa.array(size.astype(np.int64))})
         o = np.lexsort((owner, token))
         token, owner, size = token[o], owner[o], size[o]
         new = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
@@ -109,10 +161,152 @@ def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int)
         keep = np.repeat(n, n) > 1
         return pa.table({"list": pa.array(token[keep].view(np.int64)), "cid": pa.array(owner[keep]), "n": pa.array(size[keep].astype(np.int64))})
 
-    rows = docs.select(F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("_place").alias("place"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lean(pack), "g long, token binary, owner binary, size binary").groupBy("g").applyInArrow(shared, "list long, cid long, n long")
 
 
+# ------------------------------------------------------------------ exact spans
+
+
+def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
+    """f over every ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def seeds_of(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place among the words) of every GRAM words that are the least of a window of SPAN words in one text: equal windows have equal seeds."""
+    if len(words) < SPAN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, width = shingle_hashes(words, GRAM), SPAN - GRAM + 1
+    least = _slide(grams, width, np.minimum)
+    crossing = np.zeros(len(words) + 1, np.int64)  # windows that hold words of two texts
+    edge = starts[1:-1]
+    np.add.at(crossing, np.maximum(edge - SPAN + 1, 0), 1)
+    np.add.at(crossing, edge, -1)
+    least[np.cumsum(crossing)[: len(least)] > 0] = 0
+    none = np.zeros(width - 1, np.uint64)
+    spot = np.flatnonzero((_slide(np.concatenate([none, least, none]), width, np.maximum) == grams) & (grams > 0))
+    return grams[spot], spot
+
+
+_KINDS = {"h": np.uint64, "no_id": np.uint8, "doc": np.int64, "place": np.int64, "pos": np.int32}
+_SUMS = {"m": np.int64, "s0": np.uint64, "s1": np.uint64}
+_PACKED = ", ".join(f"{x} binary" for x in _KINDS)
+
+
+def _windows(texts: DataFrame, groups: int) -> DataFrame:
+    """Windows of SPAN words that hold a seed of their text's list, but those wholly in lines that go; dealt by seeds, so that neighbours stay together."""
+
+    def run(batches):
+        for batch in batches:
+            got = {x: [] for x in ("seed", *_KINDS, "first", "last")}
+            column, places, ids = batch.column("text"), batch.column("place").to_numpy(), batch.column("doc_id")
+            for lo, hi in slices(column):
+                data, at = text_bytes(column.slice(lo, hi - lo))
+                hashes, rows = word_hashes(data, at, SPACE_BYTES)
+                for i in range(hi - lo):
+                    w = hashes[rows[i] : rows[i + 1]]
+                    if len(w) < SPAN:
+                        continue
+                    grams = shingle_hashes(w, GRAM)
+                    least = _slide(grams, SPAN - GRAM + 1, np.minimum)
+                    found = np.isin(least, grams[np.array(batch.column("words")[lo + i].as_py(), np.int64)])
+                    inside = np.r_[False, ~SPACE_BYTES[data[at[i] : at[i + 1]]], False]
+                    first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+                    if gone := batch.column("gone")[lo + i].as_py():
+                        mark = np.zeros(len(w) + 1, np.int64)
+                        for g in gone:
+                            mark[np.searchsorted(first, g["first"])] += 1
+                            mark[np.searchsorted(first, g["last"])] -= 1
+                        left = np.r_[0, np.cumsum(np.cumsum(mark[:-1]) == 0)]
+                        found &= left[SPAN:] > left[:-SPAN]
+                    p = np.flatnonzero(found)
+                    if not len(p):
+                        continue
+                    d = ids[lo + i].as_py()
+                    for name, x in zip(got, (least[p], shingle_hashes(w, SPAN)[p], np.full(len(p), d is None, np.uint8), np.full(len(p), d or 0, np.int64), np.full(len(p), places[lo + i], np.int64), p.astype(np.int32), first[p].astype(np.int32), last[p + SPAN - 1].astype(np.int32))):
+                        got[name].append(x)
+            if got["seed"]:
+                flat = {name: np.concatenate(x) for name, x in got.items()}
+                yield _dealt(_range_of(mix(flat.pop("seed")), groups), **flat)
+
+    return texts.mapInArrow(lean(run), f"g long, {_PACKED}, first binary, last binary")
+
+
+def _summed(h, no_id, doc, place, pos, m, s0, s1) -> dict[str, np.ndarray]:
+    """The least occurrence of each window, the number of all, and two sums that tell which texts and where."""
+    o = np.lexsort((pos, place, doc, no_id, h))
+    h, no_id, doc, place, pos, m, s0, s1 = (x[o] for x in (h, no_id, doc, place, pos, m, s0, s1))
+    cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return {"h": h[cut], "no_id": no_id[cut], "doc": doc[cut], "place": place[cut], "pos": pos[cut]} | {name: np.add.reduceat(x, cut) for name, x in (("m", m), ("s0", s0), ("s1", s1))}
+
+
+def _spans(work: Scratch, windows: DataFrame, per_group: int) -> DataFrame:
+    """Every occurrence of a maximal run of windows that occur together, twice or more: columns as of ``repeats``.
+
+    Windows of a packed row are summed before they are dealt, and results go back to parts of a group, so a window of all texts gathers nowhere.
+    """
+    packed = f"{_PACKED}, m binary, s0 binary, s1 binary"
+
+    def sums(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _joined(batch.slice(i, 1), **_KINDS)
+                who = mix(x[3].view(np.uint64))
+                out = _summed(*x, np.ones(len(who), np.int64), who, who * (x[4].astype(np.uint64) + np.uint64(1)))
+                yield _dealt(np.full(len(out["h"]), batch.column("g")[i].as_py(), np.int64), **out)
+
+    def total(key, t):
+        out = _summed(*_joined(t, **_KINDS, **_SUMS))
+        keep = out["m"] > 1
+        return pa.Table.from_batches([_dealt(np.full(int(keep.sum()), key[0].as_py(), np.int64), **{name: x[keep] for name, x in out.items()})])
+
+    def runs(key, ours, theirs):
+        names = ("place", "doc_id", "pos", "n", "first", "last", "cluster", "occurrences", "keep_id", "keep_place", "keep_pos", "head", "tail")
+        out = {name: [] for name in names}
+        known = dict(zip([*_KINDS, *_SUMS], _joined(theirs, **_KINDS, **_SUMS))) if theirs.num_rows else {"h": []}
+        for i in range(ours.num_rows if len(known["h"]) else 0):
+            h, no_id, doc, place, pos, first, last = _joined(ours.slice(i, 1), **_KINDS, first=np.int32, last=np.int32)
+            at = np.searchsorted(known["h"], h)
+            hit = np.flatnonzero(known["h"][np.minimum(at, len(known["h"]) - 1)] == h)
+            if not len(hit):
+                continue
+            h, no_id, doc, place, pos, first, last, at = (x[hit] for x in (h, no_id, doc, place, pos, first, last, at))
+            m, s0, s1, kp, kw = (known[name][at] for name in ("m", "s0", "s1", "place", "pos"))
+            sign = lambda ahead: mix(mix(mix(s0 + m.view(np.uint64)) ^ (s1 + ahead * s0)) + mix(kp.view(np.uint64)) + kw.astype(np.uint64) + ahead)
+            head, tail = sign(np.uint64(0)), sign(np.uint64(1))
+            cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (pos[1:] != pos[:-1] + 1) | (head[1:] != tail[:-1])])
+            end = np.r_[cut[1:], len(h)] - 1
+            ids = lambda x, none: pa.array(x, mask=none.astype(bool))
+            for name, x in zip(names, (place[cut], ids(doc[cut], no_id[cut]), pos[cut].astype(np.int64), (end - cut + 1).astype(np.int64), first[cut].astype(np.int64), last[end].astype(np.int64), h[cut].view(np.int64), m[cut], ids(known["doc"][at[cut]], known["no_id"][at[cut]]), kp[cut], kw[cut].astype(np.int64), head[cut].view(np.int64), tail[end].view(np.int64))):
+                out[name].append(pa.array(x) if isinstance(x, np.ndarray) else x)
+        return pa.table({name: pa.chunked_array(x, pa.int64()) for name, x in out.items()})
+
+    stats = work.keep(windows.mapInArrow(lean(sums), f"g long, {packed}").groupBy("g").applyInArrow(total, f"g long, {packed}"), "window-sums")
+    parts = work.keep(windows.groupBy("g").agg(F.ceil(F.sum(F.octet_length("pos")) / (16 * per_group)).alias("parts")), "window-parts")
+    ours = windows.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("h", "place"), "parts")).drop("parts")
+    theirs = stats.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    longs = ("place", "doc_id", "pos", "n", "first", "last", "cluster", "occurrences", "keep_id", "keep_place", "keep_pos", "head", "tail")
+    found = ours.groupBy("g", "part").cogroup(theirs.groupBy("g", "part")).applyInArrow(runs, ", ".join(f"{x} long" for x in longs))
+    # runs that seeds have cut go together again
+    by = Window.partitionBy("place").orderBy("pos")
+    goes_on = (F.lag(F.col("pos") + F.col("n")).over(by) == F.col("pos")) & (F.lag("tail").over(by) == F.col("head"))
+    found = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    start = F.min_by(F.struct("doc_id", "first", "cluster", "occurrences", "keep_id", "keep_place", "keep_pos"), "pos").alias("x")
+    found = found.groupBy("place", "run").agg(start, F.min("pos").alias("pos"), F.sum("n").alias("n"), F.max("last").alias("last")).select("place", "x.*", "pos", "n", "last")
+    # a span that overlaps the one of its own text that stays begins where that one ends
+    stays = (F.col("place") == F.col("keep_place")) & (F.col("pos") == F.col("keep_pos"))
+    kept_last = F.max(F.when(stays, F.col("last"))).over(Window.partitionBy("place", "cluster"))
+    found = found.withColumn("removed", ~stays).withColumn("kept_last", kept_last)
+    over = F.when(F.col("removed") & (F.col("place") == F.col("keep_place")), F.greatest(F.lit(0), F.col("keep_pos") + F.col("n") - 1 + SPAN - F.col("pos"))).otherwise(0)
+    found = found.withColumn("over", over).withColumn("first", F.when(F.col("over") > 0, F.greatest("first", "kept_last")).otherwise(F.col("first")))
+    return found.select("place", "doc_id", F.lit(None).cast("int").alias("line"), "first", "last", (F.col("n") + SPAN - 1 - F.col("over")).cast("int").alias("n_words"), "cluster", "occurrences", F.col("keep_id").alias("keep_doc_id"), "removed")
+
+
 def _items(docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
     """(cid, n, items, bits): whole sets of the wanted classes, made again from one occurrence of each."""
     spots = found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("place", "line")).alias("at")).select(F.col("at.place").alias("place"), "cid")
@@ -148,8 +342,11 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
         scan = docs.select("doc_id", "text")
         docs = (scan if docs.inputFiles() else work.keep(scan, "texts")).withColumn("_place", F.monotonically_increasing_id())
     found = work.keep(_found(docs, min_words), "found")
-    total = found.count()
-    lists = work.keep(_posted(docs, k, min_words, per_group, total), "lists")
+    total, n_words = found.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    posted = work.keep(_posted(docs, k, min_words, per_group, total, n_words), "posted")
+    lists = work.keep(posted.where("list is not null"), "lists")
+    seeds = work.keep(posted.where("list is null").select(F.col("cid").alias("place"), "n"), "seeds")
+    work.drop("posted")
     sets = work.keep(_items(docs, lists.select("cid").distinct(), found, k, min_words), "sets")
     bits = sets.select("cid", "bits")
     wanted = lambda pairs: sets.drop("bits").join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
@@ -160,16 +357,40 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
     named = work.keep(sizes.select("cid", "cluster", "m").join(clusters, "cluster"), "named")
     out = attach(found, named, ["cid"], "m", max(total, 1))
     stays = (F.col("place") == F.col("best.place")) & (F.col("line") == F.col("best.line"))
-    return out.select("place", "doc_id", "line", "first", "last", "n_words", "cluster", "occurrences", F.col("best.doc_id").alias("keep_doc_id"), (~stays).alias("removed"))
-
-
+    out = work.keep(out.select("place", "doc_id", "line", "first", "last", "n_words", "cluster", "occurrences", F.col("best.doc_id").alias("keep_doc_id"), (~stays).alias("removed")), "lines")
+    work.drop("found", "lists", "sets", "roots", "named")
+    words = seeds.groupBy("place").agg(F.collect_list("n").alias("words"), F.count("*").alias("n"))
+    gone = out.where("removed").groupBy("place").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    marked = work.keep(words.join(gone, "place", "left"), "marked")
+    groups = max(1, -(-marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (SPAN - GRAM + 2) // 2 // (per_group // 4)))
+    texts = docs.select(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.drop("n"), "place")
+    windows = work.keep(_windows(texts, groups), "windows")
+    spans = work.keep(_spans(work, windows, per_group), "spans")
+    work.drop("seeds", "marked", "windows", "window-sums", "window-parts")
+    return out.unionByName(spans)
+
+
+def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    """The texts without their removals; a cut line takes its line break along, the last one that before it."""
+
+    def one(text, rows):
+        if rows is None or text is None:
+            return text
+        data = text.encode()
+        keep = np.ones(len(data), bool)
+        for r in rows:
+            keep[r["first"] : r["last"]] = False
+        left = np.frombuffer(data, np.uint8)[keep].tobytes().decode()
+        last_line = not text.endswith("\n") and any(r["line"] is not None and r["last"] == len(data) for r in rows)
+        return left.removesuffix("\n") if last_line else left
+
+    return pd.Series([one(t, c) for t, c in zip(texts, cuts)], dtype=object)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The rows with their removals cut out of the text, line by line; rows without removals pass through untouched."""
+    """The rows with their removals cut out of the text, lines and spans; rows without removals pass through untouched."""
     work = Scratch(docs.sparkSession, "substring-cut")
     own = work.keep(docs.withColumn("_place", F.monotonically_increasing_id()), "rows")
-    cut = work.keep(repeats(own, **options).where("removed").groupBy(F.col("place").alias("_place")).agg(F.collect_set("line").alias("_cut")), "cut")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("_cut", e["i"]))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda e: e["x"]), "\n"))
+    cut = work.keep(repeats(own, **options).where("removed").groupBy(F.col("place").alias("_place")).agg(F.collect_list(F.struct("line", "first", "last")).alias("_cut")), "cut")
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.pandas_udf(_cut, "string")("text", "_cut"))
     return own.join(cut, "_place", "left").withColumn("text", text).select(docs.columns)
