@@ -48,9 +48,31 @@ def _hashed(batch: pa.RecordBatch):
 def _lines(lo: int, at: np.ndarray, edges: np.ndarray, words: np.ndarray, rows: np.ndarray, min_words: int):
     owner = np.searchsorted(at, edges[:-1], side="right") - 1
     first = np.searchsorted(edges, at)
-    for j in np.flatnonzero(np.diff(rows) >= min_words):
-        i = int(owner[j])
-        yield lo + i, int(j - first[i]), int(edges[j] - at[i]), int(edges[j + 1] - at[i]), words[rows[j] : rows[j + 1]]
+    n = np.diff(rows)
+    whole = np.flatnonzero(n >= min_words)
+    for a, b in [*zip(whole.tolist(), (whole + 1).tolist()), *_short_runs(n, owner, min_words)]:
+        i = int(owner[a])
+        yield lo + i, int(a - first[i]), int(edges[a] - at[i]), int(edges[b] - at[i]), words[rows[a] : rows[b]]
+
+
+def _short_runs(n: np.ndarray, owner: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Neighbouring shorter lines of a text, joined until they have ``min_words`` words; what is left over goes with the paragraph before it."""
+    short = np.flatnonzero((n < min_words) & (n > 0))
+    longer = np.cumsum(n >= min_words)
+    found: list[tuple[int, int]] = []
+    run, start, end, have, joined = None, 0, 0, 0, False
+    for j, m, key in [*zip(short.tolist(), n[short].tolist(), zip(owner[short].tolist(), longer[short].tolist())), (0, 0, None)]:
+        if key != run:
+            if have and joined:
+                found[-1] = (found[-1][0], end)
+            run, have, joined = key, 0, False
+        if not have:
+            start = j
+        have, end = have + m, j + 1
+        if have >= min_words:
+            found.append((start, end))
+            have, joined = 0, True
+    return found
 
 
 def paragraphs(batch: pa.RecordBatch, min_words: int):
