@@ -89,10 +89,10 @@ def class_of(words: np.ndarray) -> int:
 
 
 def bands_of(items: np.ndarray) -> np.ndarray:
-    """One hash for each band. The items are hashes, so the one nearest to a seed, by exclusive or, is a fair draw of the set."""
+    """One hash for each band. Each row draws the item whose product with an odd seed is least: unlike an exclusive or, that orders the items anew for every seed."""
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(items), 1 << 14):  # so that a paragraph of any length fits
-        low = np.minimum(low, (items[i : i + (1 << 14), None] ^ _SEEDS).min(0))
+        low = np.minimum(low, (items[i : i + (1 << 14), None] * _SEEDS).min(0))
     return mix((low * _ODD).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
