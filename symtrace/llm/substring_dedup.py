@@ -1,15 +1,20 @@
-"""Substring dedup: repeated passages by MinHash bands over paragraphs.
+"""Substring dedup: repeated passages by MinHash bands over paragraphs, and exact spans in what is left.
 
-Paragraphs are the lines of a text with ``min_words`` words or more. Equal paragraphs (by the hashes of
+Paragraphs are the lines of a text with ``min_words`` words or more, and neighbouring shorter lines joined until they have
+as many. Equal paragraphs (by the hashes of
 their words) are one class. Each class of k-word shingles has BANDS bands of ROWS minima; classes that
 share a band meet hubs of that band, are verified by their exact Jaccard similarity, and then all that
 share a band and still are in different components are compared. At the threshold of 0.8 a pair shares no
-band with probability (1 - 0.8 ** 4) ** 20, below 3e-5.
+band with probability (1 - 0.8 ** 4) ** 20, below 3e-5 (simulated: 3 of 120,000 pairs).
+
+Windows of SPAN words, wherever lines break, are compared but those that lie in removed paragraphs. Only windows that hold a
+seed that occurs twice, the least GRAM words of a window, are hashed as a whole. Runs of windows that occur
+together are spans, rows with a null line.
 
 Of a component's occurrences one stays, that with the smallest doc_id (null last) and place; all others
 are removals. Components are kept as (class, root) tables, so that copies are never expanded into pairs.
 
-Defined cases: null and empty texts have no paragraphs; shorter lines are never removed; a passage that
+Defined cases: null and empty texts have no paragraphs; fewer than ``min_words`` words between longer lines are removed only within a span; a passage that
 one document repeats is repeated as well; equal rows repeat each other; a null doc_id ranks last; an
 empty table gives an empty result; extra columns are carried by ``without_repeats``, ignored otherwise. Offsets are bytes of
 the UTF-8 text, and lines by number.
