@@ -7,13 +7,17 @@ its rank there. All are column expressions, so they stay in the JVM and need no
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MANTISSA = 52
 WALK_BITS = 44
 HISTORY_BITS = 80
+SIZES = 4096  #: alphabets whose constants are looked up
 
 
 def symbols(text: Column) -> Column:
@@ -35,6 +39,7 @@ def with_ids(df: DataFrame, text: str = "text", alphabet: str | None = None) ->
     return df.withColumn("ids", F.expr(f"transform(syms, c -> {rank})"))
 
 
+@lru_cache(maxsize=SIZES)
 def symbols_per_vector(n: int) -> int:
     """Largest c with n ** c <= 2 ** 104, by whole numbers; 104 below two symbols."""
     if n < 2:
@@ -68,21 +73,20 @@ def grid_side(n: int) -> int:
     return k
 
 
-def geometry(spark, n: Column | None = None, most: int = 4096) -> DataFrame:
-    """(n, cpv, ratio, span, history, k, lg, grid_span, vx, vy) for alphabets of 1 to ``most`` symbols; a small table to broadcast.
+def with_sizes(df: DataFrame) -> DataFrame:
+    """Adds cpv, k, lg and grid_span from the row's alphabet size ``n``; null without symbols.
 
-    Vertices come from one place, so points are equal bit for bit wherever they are made.
+    A table of ``SIZES`` rows is broadcast, which also keeps what was computed of a row from being computed anew for each of
+    its spans. Larger alphabets go by logarithms: only powers of two come within 1e-12 of a whole number, and are one.
     """
-    rows = []
-    for i in range(1, most + 1):
-        k = grid_side(i)
-        lg = k.bit_length() - 1
-        turn = [math.pi / 2 - 2.0 * math.pi * j / i for j in range(i)]
-        rows.append((i, symbols_per_vector(max(i, 2)), kissing_ratio(i), walk_span(i), history(i), k, lg, 51 // lg, [math.cos(t) for t in turn], [math.sin(t) for t in turn]))
-    return spark.createDataFrame(rows, "n int, cpv int, ratio double, span int, history int, k int, lg int, grid_span int, vx array<double>, vy array<double>")
-
-
-def with_geometry(df: DataFrame, most: int | None = None) -> DataFrame:
-    """Joins the geometry of each row's alphabet size by broadcast; empty texts have none and stay with nulls."""
-    most = most or max(1, df.agg(F.max("n")).first()[0] or 1)
-    return df.join(F.broadcast(geometry(df.sparkSession, most=most)), "n", "left")
+    known = df.sparkSession.createDataFrame([(n, symbols_per_vector(n), grid_side(n).bit_length() - 1) for n in range(1, SIZES + 1)], "n int, _cpv int, _lg int")
+    n = F.when(F.col("n") > 0, F.greatest("n", F.lit(2)))
+    d = df.join(F.broadcast(known), "n", "left")
+    d = d.withColumn("cpv", F.coalesce("_cpv", F.floor(2 * MANTISSA / F.log2(n) + 1e-12).cast("int"))).withColumn("lg", F.coalesce("_lg", F.greatest(F.lit(1), F.ceil(F.log2(n) / 2 - 1e-12).cast("int")))).drop("_cpv", "_lg")
+    return d.withColumn("k", F.expr("cast(shiftleft(1, lg) as int)")).withColumn("grid_span", F.expr("cast(51 div lg as int)"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("span", T.IntegerType()), T.StructField("history", T.IntegerType())]))
+def ring_sizes(n: pd.Series) -> pd.DataFrame:
+    """What the ring walk makes of an alphabet's size."""
+    return pd.DataFrame([(kissing_ratio(i), walk_span(i), history(i)) for i in n], columns=["ratio", "span", "history"])

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.functions.symbols import with_geometry, with_ids
+from symtrace.functions.symbols import with_sizes, with_ids
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a text: key, length, n, alphabet, k, lg, grid_span and ``spans`` of (c, ix, iy)."""
-    d = with_geometry(with_ids(df.select(key, text), text)).withColumn("m", F.col("grid_span"))
+    d = with_sizes(with_ids(df.select(key, text), text)).withColumn("m", F.col("grid_span"))
     digit = "aggregate(reverse(slice(ids, s * m + 1, m)), 0L, (a, i) -> a * k + {})"
     spans = f"""if(length = 0, cast(array() as array<struct<c:int,ix:bigint,iy:bigint>>), transform(sequence(0, cast((length - 1) div m as int)),
         s -> named_struct('c', cast(least(m, length - s * m) as int), 'ix', {digit.format('i % k')}, 'iy', {digit.format('i div k')})))"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.functions.symbols import MANTISSA, with_geometry, with_ids
+from symtrace.functions.symbols import MANTISSA, with_sizes, with_ids
 
 _HALF = f"cast({1 << MANTISSA} as decimal(38,0))"
 _VECTOR = "struct<c:int,xi:bigint,yi:bigint>"
@@ -17,7 +17,7 @@ _VECTOR = "struct<c:int,xi:bigint,yi:bigint>"
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", alphabet: str | None = None) -> DataFrame:
     """One row a text: key, length, n, base, cpv, alphabet and ``vectors`` of (c, xi, yi), coordinates times 2 ** 52."""
-    d = with_geometry(with_ids(df.select(key, text), text, alphabet)).withColumn("base", F.greatest("n", F.lit(2)))
+    d = with_sizes(with_ids(df.select(key, text), text, alphabet)).withColumn("base", F.greatest("n", F.lit(2)))
     value = "aggregate(reverse(slice(ids, s * cpv + 1, cpv)), cast(0 as decimal(38,0)), (a, i) -> cast(a * base + i as decimal(38,0)))"
     parts = f"""if(length = 0, cast(array() as array<{_VECTOR}>), transform(transform(sequence(0, cast((length - 1) div cpv as int)),
         s -> named_struct('c', cast(least(cpv, length - s * cpv) as int), 'v', {value})),

@@ -5,14 +5,20 @@ from __future__ import annotations
 import lzma
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symtrace.functions.symbols import symbols
+from symtrace.operators import folds
+
+ORDERS = (0, 1, 2, 3, 4, 5, 6)
 
 
 def exploded(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,25 +26,63 @@ def exploded(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(key, F.posexplode(symbols(F.col(text))).alias("pos", "sym"))
 
 
-def ngram_bits(df: DataFrame, orders=(0, 1, 2, 3, 4, 5, 6), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, ord, bits): add-one prequential code length of each symbol; contexts at a text's start are shorter.
+def _codes(ids: np.ndarray, orders) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, how often each symbol's context came before, and with that symbol), contexts at the start being shorter."""
+    context = np.zeros(len(ids), np.int64)
+    for order in range(max(orders) + 1):
+        if order:  # the last ``order`` symbols are the last order - 1 of the place before, and the symbol there
+            own = np.r_[0, context[:-1] * (ids.max() + 1) + ids[:-1] + 1]
+            context = np.unique(own, return_inverse=True)[1]
+        if order in orders:
+            yield order, _before(context), _before(context * (ids.max() + 1) + ids)
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """How many equal ones come before each."""
+    o = np.argsort(key, kind="stable")
+    first = np.r_[True, key[o][1:] != key[o][:-1]]
+    start = np.flatnonzero(first)
+    out = np.empty(len(key), np.int64)
+    out[o] = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
+    return out
+
+
+def _bits(text: str, orders) -> Iterator[tuple[int, np.ndarray]]:
+    alphabet, ids = folds.ranked(text)
+    for order, seen, same in _codes(ids, orders):
+        yield order, -np.log2((same + 1) / (seen + len(alphabet)))
+
+
+def ngram_bits(df: DataFrame, orders=ORDERS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, ord, n, bits): add-one prequential code length of each of a text's n symbols; contexts at its start are shorter.
 
-    The order's rows of a text share one sort by (context, pos), and one by (context, symbol, pos).
+    A text is counted within its row, by sorts of its contexts, so nothing is shuffled.
     """
-    per = df.select(key, symbols(F.col(text)).alias("_s")).withColumn("v", F.size(F.array_distinct("_s")))
-    e = per.select(key, "_s", "v", F.posexplode("_s").alias("pos", "sym"))
-    e = e.withColumn("ord", F.explode(F.array(*map(F.lit, orders))))
-    # a slice of the array, as a substring of a long text would be found by counting from its start
-    e = e.withColumn("ctx", F.expr("array_join(slice(_s, greatest(pos - ord, 0) + 1, least(ord, pos)), '')")).drop("_s")
-    seen = F.row_number().over(Window.partitionBy(key, "ord", "ctx").orderBy("pos")) - 1
-    same = F.row_number().over(Window.partitionBy(key, "ord", "ctx", "sym").orderBy("pos"))
-    return e.withColumn("bits", -F.log2(same / (seen + F.col("v")))).select(key, "pos", "ord", "sym", "bits")
 
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for order, bits in _bits(t, orders) if t else ():
+                    for a in range(0, len(bits), folds.BLOCK):
+                        part = bits[a : a + folds.BLOCK]
+                        m = len(part)
+                        yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(m, i))), "pos": pa.array(np.arange(a, a + m, dtype=np.int32)), "ord": pa.array(np.full(m, order, np.int32)), "n": pa.array(np.full(m, len(bits))), "bits": pa.array(part)})
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("bits", T.DoubleType())])
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def ngram_rate(df: DataFrame, orders=ORDERS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ord, symbols, bits, bpc), one row a text and order, summed within the row."""
+
+    def run(batches):
+        for batch in batches:
+            got = [(i, order, len(bits), float(bits.sum())) for i, t in enumerate(batch.column("text").to_pylist()) if t for order, bits in _bits(t, orders)]
+            row, order, n, bits = zip(*got) if got else [()] * 4
+            yield pa.record_batch({key: batch.column("_key").take(pa.array(row, pa.int64())), "ord": pa.array(order, pa.int32()), "symbols": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.float64())})
 
-def ngram_rate(df: DataFrame, orders=(0, 1, 2, 3, 4, 5, 6), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ord, symbols, bits, bpc)."""
-    g = ngram_bits(df, orders, key, text).groupBy(key, "ord").agg(F.count("*").alias("symbols"), F.sum("bits").alias("bits"))
-    return g.withColumn("bpc", F.col("bits") / F.col("symbols"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ord", T.IntegerType()), T.StructField("symbols", T.LongType()), T.StructField("bits", T.DoubleType())])
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumn("bpc", F.col("bits") / F.col("symbols"))
 
 
 def best_order(rates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -47,10 +91,9 @@ def best_order(rates: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def perplexities(series: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, ppl, first_ppl, last_ppl) of (key, pos, nll); halves meet at n div 2, and a half without rows is null."""
-    s = series.withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    """(key, n, ppl, first_ppl, last_ppl) of (key, pos, n, nll), n rows a key; halves meet at n div 2, and a half without rows is null."""
     early = F.col("pos") < F.expr("n div 2")
-    return s.groupBy(key, "n").agg(F.exp(F.avg("nll")).alias("ppl"), F.exp(F.avg(F.when(early, F.col("nll")))).alias("first_ppl"), F.exp(F.avg(F.when(~early, F.col("nll")))).alias("last_ppl"))
+    return series.groupBy(key, "n").agg(F.exp(F.avg("nll")).alias("ppl"), F.exp(F.avg(F.when(early, F.col("nll")))).alias("first_ppl"), F.exp(F.avg(F.when(~early, F.col("nll")))).alias("last_ppl"))
 
 
 def order0_model(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,135 +8,250 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symtrace.functions.symbols import geometry, grid_side, history, kissing_ratio
+from symtrace.operators import folds
 
 LENGTHS = (3, 4, 6, 8, 12)
+FEW = 100_000  #: queries, of a few dozen bytes each, that are handed to all tasks at once; more go in blocks or by shuffle
 
 
 def corpus_alphabet(df: DataFrame, text: str = "text") -> list[str]:
     """Sorted distinct symbols of all texts; at most one entry for each code point comes to the driver."""
-    per_text = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("sym")).where("sym <> ''").distinct()
-    return sorted(r.sym for r in per_text.collect())
 
+    def run(batches):
+        seen = np.zeros(0, np.uint32)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                if t:
+                    seen = np.union1d(seen, folds.code_points(t))
+        yield pa.record_batch({"sym": pa.array(list(folds.as_text(seen)), pa.string())})
 
-def with_corpus_ids(df: DataFrame, alphabet: list[str], text: str = "text") -> DataFrame:
-    """Adds ``ids`` by one map literal for the corpus; symbols outside it are null."""
-    if not alphabet:
-        return df.withColumn("ids", F.expr("cast(array() as array<int>)"))
-    # one join key for each symbol is dearer than a position in the sorted alphabet
-    known = F.array(*map(F.lit, alphabet))
-    return df.withColumn("_alphabet", known).withColumn("ids", F.expr(f"transform(if(length({text}) > 0, split({text}, ''), cast(array() as array<string>)), c -> cast(nullif(array_position(_alphabet, c), 0) as int) - 1)")).drop("_alphabet")
+    return sorted(r.sym for r in df.select(F.col(text).alias("text")).mapInArrow(run, "sym string").distinct().collect())
 
 
-def _ring(n: int) -> tuple[float, int]:
-    return kissing_ratio(n), history(n)
+def _walk(n: int, kind: str) -> folds.Walk:
+    return folds.ring(max(n, 1)) if kind == "ring" else folds.grid(max(n, 1))
 
 
-def _weights(spark, alphabet: list[str], kind: str) -> tuple[DataFrame, float, int]:
-    """A one-row table of vertex arrays, the ratio and the history of the ring or the grid."""
-    n = len(alphabet)
-    if kind == "ring":
-        g = geometry(spark, most=n).where(F.col("n") == n).select("vx", "vy")
-        return g, *_ring(n)
-    k = grid_side(n)
-    rows = [([float(i % k) for i in range(n)], [float(i // k) for i in range(n)])]
-    return spark.createDataFrame(rows, "vx array<double>, vy array<double>"), 1.0 / k, int(80 / np.log2(k)) + 1
+def _ids(points: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Ranks in the alphabet; -1 outside it."""
+    at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+    return np.where(known[at] == points, at, -1)
 
 
-def _step(kind: str, ratio: float) -> tuple[str, str]:
-    """Start and step of the fold."""
-    if kind == "ring":
-        return "named_struct('x', 0.0D, 'y', 0.0D)", f"named_struct('x', vx[i] + {ratio!r}D * (p.x - vx[i]), 'y', vy[i] + {ratio!r}D * (p.y - vy[i]))"
-    k = round(1 / ratio)
-    return "named_struct('x', 0.5D, 'y', 0.5D)", f"named_struct('x', (p.x + vx[i]) / {k}D, 'y', (p.y + vy[i]) / {k}D)"
+def walk_index(df: DataFrame, alphabet: list[str], kind: str = "ring", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, x, y): the point after each prefix of every text, pos 1 to its length; a symbol outside the alphabet raises."""
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
 
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                if not t:
+                    continue
+                ids = _ids(folds.code_points(t), known)
+                if (ids < 0).any():
+                    raise ValueError(f"symbol outside the alphabet: {t[int((ids < 0).argmax())]}")
+                for a, x, y in folds.blocks(w, ids):
+                    yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(len(x), i))), "pos": pa.array(np.arange(a + 1, a + 1 + len(x), dtype=np.int32)), "x": pa.array(x), "y": pa.array(y)})
 
-def walk_index(df: DataFrame, alphabet: list[str], kind: str = "ring", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, x, y): the point after each prefix of every text, pos 1 to its length."""
-    table, ratio, back = _weights(df.sparkSession, alphabet, kind)
-    start, step = _step(kind, ratio)
-    d = with_corpus_ids(df.select(key, text), alphabet, text).crossJoin(F.broadcast(table))  # one row
-    d = d.where(F.size("ids") > 0).select(key, "ids", "vx", "vy", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("pos"))
-    p = F.expr(f"aggregate(slice(ids, greatest(pos - {back} + 1, 1), least(pos, {back})), {start}, (p, i) -> {step})")
-    return d.select(key, "pos", p.alias("p")).select(key, "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def query_points(queries: DataFrame, alphabet: list[str], kind: str = "ring") -> DataFrame:
-    """Adds qx, qy, q and tau to (query_id, query); queries with symbols outside the alphabet go."""
-    table, ratio, _ = _weights(queries.sparkSession, alphabet, kind)
-    start, step = _step(kind, ratio)
-    d = with_corpus_ids(queries, alphabet, "query").crossJoin(F.broadcast(table)).where("size(ids) > 0 and forall(ids, i -> i is not null)")
-    d = d.withColumn("q", F.size("ids")).withColumn("p", F.expr(f"aggregate(ids, {start}, (p, i) -> {step})"))
-    scale = 2.0 if kind == "ring" else 2.0**0.5
-    return d.select(*queries.columns, "q", F.col("p.x").alias("qx"), F.col("p.y").alias("qy"), (F.lit(scale) * F.pow(F.lit(ratio), F.col("q")) + 1e-12).alias("tau"))
+    """Adds q, qx, qy and tau to (query_id, query); queries without symbols or with some outside the alphabet go."""
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for i, t in enumerate(batch.column("query").to_pylist()):
+                ids = _ids(folds.code_points(t), known) if t and len(known) else np.zeros(0, np.int64)
+                if len(ids) and (ids >= 0).all():
+                    x, y = w.start, w.start
+                    for s in ids:
+                        x, y = w.step(x, y, s)
+                    rows.append(i)
+                    out.append((len(ids), float(x), float(y), (2.0 if kind == "ring" else 2.0**0.5) * w.ratio ** len(ids) + 1e-12))
+            q, x, y, tau = zip(*out) if out else [()] * 4
+            yield pa.record_batch([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(q, pa.int32()), pa.array(x, pa.float64()), pa.array(y, pa.float64()), pa.array(tau, pa.float64())], names=[*batch.schema.names, "q", "qx", "qy", "tau"])
+
+    more = [T.StructField("q", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("qx", "qy", "tau"))]
+    return queries.mapInArrow(run, T.StructType([*queries.schema, *more]))
 
 
 def radius_join(points: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, pos, d2) with d2 <= tau ** 2. Queries carry qx, qy, tau; those of one tau share a grid of cells."""
+    """(query_id, q, key, pos, d2) with d2 <= tau ** 2. Queries carry q, qx, qy, tau; those of one tau share a grid of cells.
+
+    Up to ``FEW`` queries, by count, their cells are broadcast, so points stay where they are; more meet points by a shuffle of cells.
+    """
+    queries = queries.select("query_id", "q", "tau", "qx", "qy")
     taus = queries.select("q", "tau").distinct()
-    cells = queries.select("query_id", "q", "tau", "qx", "qy", F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> named_struct('i', i, 'j', j))))")).alias("o"))
-    cells = cells.select("query_id", "q", "tau", "qx", "qy", (F.floor(F.col("qx") / (2 * F.col("tau"))) + F.col("o.i")).alias("cx"), (F.floor(F.col("qy") / (2 * F.col("tau"))) + F.col("o.j")).alias("cy"))
+    o = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    beside = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in o)))
+    cell = lambda c: F.floor(F.col(c) / (2 * F.col("tau")))
+    cells = queries.withColumn("o", beside).select("query_id", "q", "tau", "qx", "qy", (cell("qx") + F.col("o.i")).alias("cx"), (cell("qy") + F.col("o.j")).alias("cy"))
+    if queries.count() <= FEW:
+        cells = F.broadcast(cells)
     # a row for each point and length of query: lengths are few, points many
-    spread = points.crossJoin(F.broadcast(taus)).withColumn("cx", F.floor(F.col("x") / (2 * F.col("tau")))).withColumn("cy", F.floor(F.col("y") / (2 * F.col("tau")))).drop("tau")
+    spread = points.crossJoin(F.broadcast(taus)).withColumn("cx", cell("x")).withColumn("cy", cell("y")).drop("tau")
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     return spread.join(cells, ["q", "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= F.col("tau") * F.col("tau")).select("query_id", "q", key, "pos", "d2")
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(points: np.ndarray, q: int) -> np.ndarray:
+    """Rolling hash of every q neighbours."""
+    n = len(points) - q + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for i in range(q if n > 0 else 0):
+        h = (h + points[i : i + n].astype(np.uint64) + np.uint64(1)) * _ODD
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def occurrences(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, q, key, pos): overlapping places where the query ends, 1-based, by an equi-join on the substring."""
-    lengths = [r[0] for r in queries.select(F.length("query")).distinct().collect()]  # the query lengths
+    """(query_id, q, key, pos): overlapping places where the query ends, 1-based.
+
+    A text slides past the queries' hashes within its row, one length of query after the other, and hits are compared
+    symbol by symbol. The queries go to all tasks, ``FEW`` at a time; each block of them is one pass.
+    """
+    wanted = [(r.query_id, r.query) for r in queries.select("query_id", "query").where("length(query) > 0").toLocalIterator()]  # a query set is stated by its caller
+    schema = T.StructType([queries.schema["query_id"], T.StructField("q", T.IntegerType()), T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType())])
+    kind = pa.int64() if isinstance(queries.schema["query_id"].dataType, T.LongType) else None
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+
+    def search(block):
+        by: dict[int, dict[str, list]] = {}
+        for i, t in block:
+            by.setdefault(len(t), {}).setdefault(t, []).append(i)
+        marks = {q: np.unique([_grams(folds.code_points(t), q)[0] for t in known]) for q, known in by.items()}
+
+        def run(batches):
+            for batch in batches:
+                found, q_, row, pos = [], [], [], []
+                for i, t in enumerate(batch.column("text").to_pylist()):
+                    points = folds.code_points(t or "")
+                    for q, known in by.items():
+                        for a in np.flatnonzero(np.isin(_grams(points, q), marks[q])):
+                            for query_id in known.get(t[a : a + q], ()):
+                                found.append(query_id)
+                                q_.append(q)
+                                row.append(i)
+                                pos.append(int(a) + q)
+                yield pa.record_batch([pa.array(found, kind), pa.array(q_, pa.int32()), batch.column("_key").take(pa.array(row, pa.int64())), pa.array(pos, pa.int32())], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
+
     out = None
-    for q in sorted(lengths):
-        at = df.where(F.length(text) >= q).select(key, F.split(text, "").alias("_s")).select(key, "_s", F.explode(F.sequence(F.lit(q), F.size("_s"))).alias("pos"))
-        grams = at.select(key, "pos", F.array_join(F.slice("_s", F.col("pos") - (q - 1), F.lit(q)), "").alias("query"))
-        one = grams.join(queries.where(F.length("query") == q), "query").select("query_id", F.lit(q).alias("q"), key, "pos")
+    for a in range(0, max(1, len(wanted)), FEW):
+        one = search(wanted[a : a + FEW])
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, q, n_found, n_true, n_both, precision, recall); nothing found has precision 0."""
-    f = found.select("query_id", key, "pos", F.lit(1).alias("f"))
-    t = truth.select("query_id", key, "pos", F.lit(1).alias("t"))
-    both = f.join(t, ["query_id", key, "pos"], "full").groupBy("query_id").agg(F.count("f").alias("n_found"), F.count("t").alias("n_true"), F.count(F.col("f") + F.col("t")).alias("n_both"))
-    r = queries.select("query_id", F.length("query").alias("q")).join(both, "query_id", "left").na.fill(0, ["n_found", "n_true", "n_both"])
+    """(query_id, q, n_found, n_true, n_both, precision, recall); nothing found has precision 0.
+
+    What is found may be far more than what is true, so it is counted where it is made and meets true hits by broadcast if these are counted to be few.
+    """
+    truth = truth.select("query_id", key, "pos").withColumn("t", F.lit(1))
+    if (n := truth.groupBy("query_id").count().agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]) <= 10 * FEW:
+        truth = truth.repartition(max(1, n // FEW)) if n else truth
+        met = found.select("query_id", key, "pos").join(F.broadcast(truth), ["query_id", key, "pos"], "left")
+    else:
+        met = found.select("query_id", key, "pos").join(truth, ["query_id", key, "pos"], "left")
+    f = met.groupBy("query_id").agg(F.count("*").alias("n_found"), F.count("t").alias("n_both"))
+    t = truth.groupBy("query_id").agg(F.count("*").alias("n_true"))
+    r = queries.select("query_id", F.length("query").alias("q")).join(f, "query_id", "left").join(t, "query_id", "left").na.fill(0, ["n_found", "n_true", "n_both"])
     share = lambda part: F.when(F.col(part) > 0, F.col("n_both") / F.col(part)).otherwise(F.lit(0.0))
-    return r.withColumn("precision", share("n_found")).withColumn("recall", share("n_true"))
+    return r.select("query_id", "q", "n_found", "n_true", "n_both").withColumn("precision", share("n_found")).withColumn("recall", share("n_true"))
 
 
 def nearest(points: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, key, pos, d2): the nearest point of each query, first by d2, key, pos.
 
-    Queries are a broadcast of counted size; each task keeps one candidate for a query, so what is shuffled is one row a task and query.
+    Each Arrow batch of points keeps one candidate for a query; what is shuffled is one row a batch and query. The queries go to all
+    tasks, ``FEW`` // 10 at a time; each block of them is one pass over the points.
     """
-    assert queries.count() <= 10_000, "nearest() takes at most 10,000 queries at once"
-    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    pairs = points.crossJoin(F.broadcast(queries.select("query_id", "qx", "qy"))).select("query_id", F.struct(d2.alias("d2"), key, "pos").alias("hit"))
-    return pairs.groupBy("query_id").agg(F.min("hit").alias("hit")).select("query_id", "hit.*")
+    wanted = [(r.query_id, r.qx, r.qy) for r in queries.select("query_id", "qx", "qy").toLocalIterator()]
+    schema = T.StructType([queries.schema["query_id"], T.StructField("d2", T.DoubleType()), points.schema[key], T.StructField("pos", T.IntegerType())])
+
+    def search(block):
+        ids = pa.array([i for i, _, _ in block])
+        qx, qy = np.array([x for _, x, _ in block]), np.array([y for _, _, y in block])
+
+        def run(batches):
+            for batch in batches:
+                x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+                if not len(x):
+                    continue
+                least, at = np.full(len(qx), np.inf), np.zeros(len(qx), np.int64)
+                # by direction: the points that could be nearest lie in a strip around the query's x
+                order = np.argsort(x, kind="stable")
+                sx, sy = x[order], y[order]
+                width = 64
+                todo = np.arange(len(qx))
+                while len(todo):
+                    lo = np.clip(np.searchsorted(sx, qx[todo]) - width // 2, 0, max(0, len(sx) - width))
+                    hi = np.minimum(lo + width, len(sx))
+                    for j, q in enumerate(todo):
+                        d2 = (sx[lo[j] : hi[j]] - qx[q]) ** 2 + (sy[lo[j] : hi[j]] - qy[q]) ** 2
+                        least[q] = d2.min()
+                        at[q] = order[lo[j] : hi[j]][d2 == least[q]].min()  # the first of equally near ones
+                    gap = np.minimum(np.where(lo > 0, qx[todo] - sx[lo], np.inf), np.where(hi < len(sx), sx[hi - 1] - qx[todo], np.inf))
+                    todo = todo[(least[todo] >= gap**2) & ((lo > 0) | (hi < len(sx)))]
+                    width *= 8
+                yield pa.record_batch([ids, pa.array(least), batch.column(key).take(pa.array(at)), batch.column("pos").take(pa.array(at))], names=schema.names)
+
+        return points.select(key, "pos", "x", "y").mapInArrow(run, schema)
 
+    out = None
+    for a in range(0, max(1, len(wanted)), FEW // 10):
+        if block := wanted[a : a + FEW // 10]:
+            one = search(block)
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = points.where("false").select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("d2"), key, "pos")
+    return out.groupBy("query_id").agg(F.min(F.struct("d2", key, "pos")).alias("hit")).select("query_id", "hit.*")
 
-def common_suffix(a: Column, b: Column, cap: int) -> Column:
-    """Length of the longest common suffix of two prefixes, at most ``cap``: ``a`` and ``b`` are their reversed last symbols as arrays."""
-    same = F.zip_with(F.slice(a, 1, cap), F.slice(b, 1, cap), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
-    first = F.array_position(same, F.lit(False)).cast("int")
-    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b), F.lit(cap)))
 
+def decay(df: DataFrame, alphabet: list[str], kind: str, theory: Column, cap: int = 30, least: int = 5, keep_zero: bool = False, step: int = 7919, text: str = "text") -> DataFrame:
+    """(suffix, n, median_distance, theory): each point of a text with that of place (pos * step mod length) + 1, by their common suffix.
 
-def decay(index: DataFrame, partner: Column, texts: DataFrame, ratio: float, theory: Column, cap: int = 30, least: int = 5, keep_zero: bool = False, key: str = "doc_id") -> DataFrame:
-    """(suffix, n, median_distance, theory): pairs of points of one text, pos with ``partner``, by their common suffix."""
-    a = index.select(key, "pos", "x", "y", partner.cast("int").alias("other"))
-    b = index.select(key, F.col("pos").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    p = a.where("pos <> other").join(b, [key, "other"]).join(texts.select(key, F.split("text", "").alias("_s")), key)
-    last = lambda pos: F.reverse(F.slice("_s", F.greatest(F.col(pos) - cap + 1, F.lit(1)), F.least(F.col(pos), F.lit(cap))))
-    p = p.withColumn("suffix", common_suffix(last("pos"), last("other"), cap)).withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)))
-    if not keep_zero:
-        p = p.where("d > 0")
-    g = p.groupBy("suffix").agg(F.count("*").alias("n"), F.median("d").alias("median_distance")).where(F.col("n") >= least)
-    return g.withColumn("theory", theory)
+    Both points, and the symbols before them, are in the row, so pairs are made there; what is shuffled is (suffix, distance).
+    """
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                if not t:
+                    continue
+                points = folds.code_points(t)
+                ids, n = _ids(points, known), len(points)
+                x, y = folds.points(w, ids)
+                for a in range(1, n + 1, folds.BLOCK):
+                    pos = np.arange(a, min(a + folds.BLOCK, n + 1))
+                    other = pos * step % n + 1
+                    same, suffix = np.ones(len(pos), bool), np.zeros(len(pos), np.int64)
+                    for j in range(cap):
+                        there = (pos > j) & (other > j)
+                        same &= there & (points[np.maximum(pos - 1 - j, 0)] == points[np.maximum(other - 1 - j, 0)])
+                        suffix += same
+                    dx, dy = x[pos - 1] - x[other - 1], y[pos - 1] - y[other - 1]
+                    d = np.sqrt(dx * dx + dy * dy)
+                    keep = (pos != other) & (keep_zero | (d > 0))
+                    yield pa.record_batch({"suffix": pa.array(suffix[keep].astype(np.int32)), "d": pa.array(d[keep])})
+
+    d = df.select(F.col(text).alias("text")).mapInArrow(run, "suffix int, d double")
+    return d.groupBy("suffix").agg(F.count("*").alias("n"), F.median("d").alias("median_distance")).where(F.col("n") >= least).withColumn("theory", theory)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -167,13 +282,12 @@ def contexts(hits: DataFrame, texts: DataFrame, alphabet: list[str], span: int,
 
     walk = walk_index(texts, alphabet, "ring", key)
     n = len(alphabet)
-    g = geometry(texts.sparkSession, most=n).where(F.col("n") == n).select("n", "ratio", "vx", "vy")
     ends = hits.select("query_id", key, "pos", F.explode(F.expr(f"sequence(0, cast((least(pos, {hops}) - 1) div {span} as int))")).alias("hop"))
     ends = ends.withColumn("end", F.col("pos") - F.col("hop") * span).withColumn("start", F.greatest(F.col("end") - span, F.col("pos") - hops, F.lit(0)))
     end = walk.select(F.col(key), F.col("pos").alias("end"), "x", "y")
     start = walk.select(F.col(key), F.col("pos").alias("start"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     parts = ends.join(end, [key, "end"]).join(start, [key, "start"], "left").na.fill(0.0, ["ax", "ay"])
-    parts = parts.withColumn("c", (F.col("end") - F.col("start")).cast("int")).crossJoin(F.broadcast(g))
+    parts = parts.withColumn("c", (F.col("end") - F.col("start")).cast("int")).withColumn("n", F.lit(n))
     names = F.array(*map(F.lit, alphabet))
     done = decode_spans(parts).withColumn("_alphabet", names).withColumn("piece", F.expr("if(out is null, repeat('?', c), array_join(transform(out, i -> _alphabet[i]), ''))"))
     w = done.groupBy("query_id", key, "pos").agg(F.array_sort(F.collect_list(F.struct("end", "piece"))).alias("p"))

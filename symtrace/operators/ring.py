@@ -1,144 +1,165 @@
 """The ring walk: points contract towards a symbol's vertex on a circle; every m-th point is kept.
 
-The walk forgets: after ``history`` symbols an earlier one changes no bit of a 64-bit float, so each kept
-point is folded from its own last symbols, and spans are encoded independently of each other.
-
-At the kissing ratio a point's direction names the last symbol, so spans decode in closed form. Where
-cells touch, the direction can mislead; a decoded span is therefore encoded again from its anchor and
-must give the stored point bit for bit. The few that don't are searched by a UDF over all symbols whose
-preimage lies in the polygon, the most central first.
+Texts are encoded and decoded in Arrow batches by the folds of ``symtrace.operators.folds``, a row at a time, so nothing
+is shuffled and a row holds a few numbers for each of its symbols. A span's inversion ends at the anchor before it, so all
+spans of a row are inverted at once.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symtrace.functions.symbols import with_geometry, with_ids
-
-_STEP = "named_struct('x', vx[i] + ratio * (p.x - vx[i]), 'y', vy[i] + ratio * (p.y - vy[i]))"
-_CENTRE = "named_struct('x', 0.0D, 'y', 0.0D)"
+from symtrace.operators import folds
 
+_POINT = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+_ARCHIVE = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("span", T.IntegerType()), T.StructField("history", T.IntegerType()), T.StructField("alphabet", T.ArrayType(T.StringType())), T.StructField("points", T.ArrayType(_POINT))])
 
-def _fold(ids: str, start: str = _CENTRE) -> str:
-    return f"aggregate({ids}, {start}, (p, i) -> {_STEP})"
 
+def _int(x) -> pa.Array:
+    return pa.array(np.asarray(x, np.int32))
 
-def _point_at(end: str) -> str:
-    """The point after ``end`` symbols, from its last ``history`` ones."""
-    return _fold(f"slice(ids, greatest({end} - history + 1, 1), least({end}, history))")
 
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", span: int | None = None) -> DataFrame:
+    """One row a text: key, length, n, ratio, span, history, alphabet and ``points`` of (c, x, y); ``span`` may shorten the automatic one."""
+
+    def run(batches):
+        for batch in batches:
+            head, alphabets, cs, xs, ys = [], [], [], [], []
+            for t in batch.column("text").to_pylist():
+                if not t:
+                    head.append((0, 0, None, None, None, 0))
+                    alphabets.append([])
+                    continue
+                alphabet, ids = folds.ranked(t)
+                walk = folds.ring(len(alphabet))
+                m = min(span or walk.span, walk.span)
+                ends = np.minimum(np.arange(m, len(ids) + m, m), len(ids))
+                x, y = (v[ends - 1] for v in folds.points(walk, ids))
+                head.append((len(ids), walk.n, walk.ratio, m, walk.back, len(ends)))
+                alphabets.append(list(folds.as_text(alphabet)))
+                cs.append(np.diff(ends, prepend=0))
+                xs.append(x)
+                ys.append(y)
+            length, n, ratio, m, back, k = zip(*head) if head else [()] * 6
+            flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+            points = pa.StructArray.from_arrays([flat(cs, np.int32), flat(xs, float), flat(ys, float)], ["c", "x", "y"])
+            yield pa.record_batch({key: batch.column("_key"), "length": pa.array(length, pa.int32()), "n": pa.array(n, pa.int32()), "ratio": pa.array(ratio, pa.float64()), "span": pa.array(m, pa.int32()), "history": pa.array(back, pa.int32()), "alphabet": pa.array(alphabets, pa.list_(pa.string())), "points": folds.lists(points, k)})
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), *_ARCHIVE]))
+
+
+def walk(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: float | None = None) -> DataFrame:
+    """All points: key, pos (0 is the centre), x, y. Another ratio than the kissing one must contract; it remembers 80 bits."""
+
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                if t is None:
+                    continue
+                alphabet, ids = folds.ranked(t)
+                w = folds.ring(max(1, len(alphabet)), ratio)
+                for a, x, y in chain([(-1, np.zeros(1), np.zeros(1))], folds.blocks(w, ids)):
+                    yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(len(x), i))), "pos": _int(np.arange(a + 1, a + 1 + len(x))), "x": pa.array(x), "y": pa.array(y)})
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
-def prepared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return with_geometry(with_ids(df.select(key, text), text))
 
+def decode(archive: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, decoded, n_spans, n_repaired) of each text with symbols; raises where a span can't be decoded."""
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", span: int | None = None) -> DataFrame:
-    """One row a text: key, length, n, ratio, span, alphabet and ``points`` of (c, x, y); ``span`` may shorten the automatic one."""
-    d = prepared(df, key, text)
-    if span:
-        d = d.withColumn("span", F.least("span", F.lit(span)))
-    points = f"""if(length = 0, cast(array() as array<struct<c:int,x:double,y:double>>), transform(transform(sequence(0, cast((length - 1) div span as int)),
-        s -> named_struct('c', cast(least(span, length - s * span) as int), 'p', {_point_at('least(length, (s + 1) * span)')})),
-        w -> named_struct('c', w.c, 'x', w.p.x, 'y', w.p.y)))"""
-    return d.select(key, "length", "n", "ratio", "span", "history", "alphabet", "vx", "vy", F.expr(points).alias("points"))
-
-
-def walk(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All points: key, pos (0 is the centre), x, y; one row each, every one from its own last symbols."""
-    d = prepared(df, key, text).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("length"))))
-    d = d.withColumn("p", F.expr(f"if(pos = 0, {_CENTRE}, {_point_at('pos')})"))
-    return d.select(key, "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-
-
-def midpoint_walk(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = 0.5) -> DataFrame:
-    """As ``walk`` with another ratio, as long as it contracts; 80 bits of history."""
-    d = prepared(df, key, text).withColumn("ratio", F.lit(float(ratio))).withColumn("history", F.lit(math.ceil(80 / math.log2(1 / ratio))))
-    d = d.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("length"))))
-    d = d.withColumn("p", F.expr(f"if(pos = 0, {_CENTRE}, {_point_at('pos')})"))
-    return d.select(key, "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-
-
-def spans(archive: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a span with its anchor, the point before it (the centre for the first): key, span_no, c, x, y, ax, ay."""
-    s = archive.select(key, "n", "ratio", "vx", "vy", F.posexplode("points").alias("span_no", "w"), F.col("points").alias("_all"))
-    s = s.withColumn("_a", F.expr(f"if(span_no = 0, {_CENTRE}, named_struct('x', _all[span_no - 1].x, 'y', _all[span_no - 1].y))"))
-    return s.select(key, "n", "ratio", "vx", "vy", "span_no", "w.c", "w.x", "w.y", F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"))
-
-
-_NEAREST = "cast(pmod(cast(round((pi() / 2 - atan2(s.y, s.x)) * n / (2 * pi())) as int), n) as int)"
-
-
-def _greedy() -> str:
-    """Ids of a span's symbols by direction, last one first, put in reading order."""
-    back = f"""named_struct('x', (s.x - (1 - ratio) * vx[{_NEAREST}]) / ratio, 'y', (s.y - (1 - ratio) * vy[{_NEAREST}]) / ratio, 'out', concat(array({_NEAREST}), s.out))"""
-    return f"aggregate(sequence(1, c), named_struct('x', x, 'y', y, 'out', cast(array() as array<int>)), (s, j) -> {back}, s -> s.out)"
-
-
-def search(x: float, y: float, c: int, ax: float, ay: float, vx, vy, ratio: float, eps: float = 1e-14) -> list[int] | None:
-    """Ids that lead from the anchor to the point in c steps, by backtracking; None if there are none."""
-    n, inside = len(vx), math.cos(math.pi / len(vx)) if len(vx) > 2 else 1.0
-
-    def in_polygon(px, py, tol):
-        far = math.hypot(px, py)
-        if far <= inside:
-            return True
-        if far > 1.0 + tol:
-            return False
-        return n < 3 or all((vx[(i + 1) % n] - vx[i]) * (py - vy[i]) - (vy[(i + 1) % n] - vy[i]) * (px - vx[i]) <= tol for i in range(n))
-
-    # a stack of alternatives in place of recursion; the tolerance grows as the error does
-    stack = [(x, y, ())]
-    while stack:
-        px, py, tail = stack.pop()
-        depth = len(tail)
-        tol = eps / ratio**depth
-        if depth == c:
-            if math.hypot(px - ax, py - ay) <= tol:
-                return list(tail)
-            continue
-        found = []
-        for i in range(n):
-            qx, qy = (px - (1.0 - ratio) * vx[i]) / ratio, (py - (1.0 - ratio) * vy[i]) / ratio
-            if in_polygon(qx, qy, tol / ratio):
-                found.append((math.hypot(qx, qy), i, qx, qy))
-        stack += [(qx, qy, (i, *tail)) for _, i, qx, qy in sorted(found, reverse=True)]
-    return None
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def searched(x: pd.Series, y: pd.Series, c: pd.Series, ax: pd.Series, ay: pd.Series, vx: pd.Series, vy: pd.Series, ratio: pd.Series) -> pd.Series:
-    return pd.Series([search(*row) for row in zip(x, y, c, ax, ay, vx, vy, ratio)])
+    def run(batches):
+        for batch in batches:
+            points, out = batch.column("points"), []
+            at, flat = points.offsets.to_numpy(), points.values
+            c, x, y = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("c", "x", "y"))
+            for i, (n, alphabet) in enumerate(zip(batch.column("n").to_pylist(), batch.column("alphabet").to_pylist())):
+                s = slice(at[i], at[i + 1])
+                ids, repaired = folds.inverted(folds.ring(n), x[s], y[s], c[s].astype(np.int64), np.r_[0.0, x[s][:-1]], np.r_[0.0, y[s][:-1]])
+                lost = np.flatnonzero(ids[:, 0] < 0)
+                if len(lost):
+                    raise ValueError(f"span can't be decoded: {lost[0]}")
+                symbols = folds.code_points("".join(alphabet))
+                out.append((folds.as_text(symbols[ids[ids >= 0]]), len(ids), int(repaired.sum())))
+            text, spans_, repaired_ = zip(*out) if out else ((), (), ())
+            yield pa.record_batch({key: batch.column(key), "decoded": pa.array(text, pa.string()), "n_spans": pa.array(spans_, pa.int64()), "n_repaired": pa.array(repaired_, pa.int64())})
+
+    schema = T.StructType([T.StructField(key, archive.schema[key].dataType), T.StructField("decoded", T.StringType()), T.StructField("n_spans", T.LongType()), T.StructField("n_repaired", T.LongType())])
+    return archive.where("length > 0").select(key, "n", "alphabet", "points").mapInArrow(run, schema)
 
 
 def decode_spans(parts: DataFrame) -> DataFrame:
-    """Adds ``out`` (ids) and ``repaired``; spans that neither way decodes have null."""
-    again = _fold("out", "named_struct('x', ax, 'y', ay)")
-    d = parts.withColumn("out", F.expr(_greedy())).withColumn("_p", F.expr(again))
-    good = (F.col("_p.x") == F.col("x")) & (F.col("_p.y") == F.col("y"))
-    right = d.where(good).withColumn("repaired", F.lit(False))
-    wrong = d.where(~good).withColumn("out", searched("x", "y", "c", "ax", "ay", "vx", "vy", "ratio")).withColumn("repaired", F.lit(True))
-    return right.unionByName(wrong).drop("_p")
-
-
-def decode(archive: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, decoded, n_spans, n_repaired) of each text with symbols; raises where a span can't be decoded."""
-    parts = decode_spans(spans(archive, key)).join(archive.select(F.col(key).alias("_k"), "alphabet"), F.col(key) == F.col("_k")).drop("_k")
-    piece = F.expr("array_join(transform(out, i -> alphabet[i]), '')")
-    parts = parts.select(key, "span_no", "repaired", F.when(F.col("out").isNull(), F.raise_error(F.concat(F.lit("span can't be decoded: "), F.col("span_no").cast("string")))).otherwise(piece).alias("piece"))
-    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("span_no", "piece"))).alias("pieces"), F.count("*").alias("n_spans"), F.count_if("repaired").alias("n_repaired"))
-    return whole.select(key, F.expr("array_join(transform(pieces, p -> p.piece), '')").alias("decoded"), "n_spans", "n_repaired")
+    """Adds ``out`` (ids) and ``repaired`` to rows with n, c, (x, y) and the anchor (ax, ay); spans that can't be decoded have null."""
+
+    def run(batches):
+        for batch in batches:
+            n, c = (batch.column(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("n", "c"))
+            x, y, ax, ay = (batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y", "ax", "ay"))
+            out, repaired = [None] * len(n), np.zeros(len(n), bool)
+            for size in np.unique(n):
+                rows = np.flatnonzero(n == size)
+                ids, again = folds.inverted(folds.ring(int(size)), x[rows], y[rows], c[rows], ax[rows], ay[rows])
+                repaired[rows] = again
+                for i, line in zip(rows, ids):
+                    out[i] = line[line >= 0] if not len(line) or line[0] >= 0 else None
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(pa.int32())), pa.array(repaired)], names=[*batch.schema.names, "out", "repaired"])
+
+    return parts.mapInArrow(run, T.StructType([*parts.schema, T.StructField("out", T.ArrayType(T.IntegerType())), T.StructField("repaired", T.BooleanType())]))
+
+
+def append(archive: DataFrame, more: str, key: str = "doc_id") -> DataFrame:
+    """The archive of each text with the column ``more`` behind it, as if encoded at once.
+
+    Only the last span, if it isn't full, is inverted and folded again from its anchor. A symbol outside a row's
+    alphabet moves all vertices, so such rows are decoded and encoded anew.
+    """
+    fits = F.expr(f"size(array_except(if(length({more}) > 0, split({more}, ''), cast(array() as array<string>)), alphabet)) = 0") & (F.col("length") > 0)
+    names = [key, *(f.name for f in _ARCHIVE)]
+    state = archive.withColumn("_fits", fits)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                kept, tail = r["points"], ""
+                walk_ = folds.ring(r["n"])
+                if kept and kept[-1]["c"] < r["span"]:
+                    last, kept = kept[-1], kept[:-1]
+                    a = kept[-1] if kept else {"x": 0.0, "y": 0.0}
+                    ids, _ = folds.inverted(walk_, *(np.array([v]) for v in (last["x"], last["y"], last["c"], a["x"], a["y"])))
+                    tail = "".join(r["alphabet"][i] for i in ids[0])
+                symbols = folds.code_points("".join(r["alphabet"]))
+                ids = np.searchsorted(symbols, folds.code_points(tail + (r["more"] or "")))
+                a = kept[-1] if kept else {"x": 0.0, "y": 0.0}
+                x, y = a["x"], a["y"]
+                for s in range(0, len(ids), r["span"]):
+                    part = ids[s : s + r["span"]]
+                    for i in part:  # a walk's steps wait for each other; a span is a few of them
+                        x, y = (float(v) for v in walk_.step(x, y, i))
+                    kept.append({"c": len(part), "x": x, "y": y})
+                r["points"], r["length"] = kept, r["length"] + len(r["more"] or "")
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=pa.schema([batch.schema.field(n) for n in names]))
+
+    schema = T.StructType([archive.schema[key], *_ARCHIVE])
+    grown = state.where("_fits").select(*names, F.col(more).alias("more")).mapInArrow(run, schema)
+    rest = state.where("not coalesce(_fits, false)")
+    was = decode(rest, key)
+    again = rest.select(F.col(key), F.col(more).alias("_more")).join(was.select(key, "decoded"), key, "left").select(key, F.concat(F.coalesce("decoded", F.lit("")), F.coalesce("_more", F.lit(""))).alias("text"))
+    return grown.unionByName(encode(again, key))
 
 
 def char_at(archive: DataFrame, pos: str, key: str = "doc_id") -> DataFrame:
     """(key, pos, symbol) of each row's position inside its text; one span is decoded for each."""
     one = archive.where(f"{pos} >= 0 and {pos} < length").withColumn("_s", F.expr(f"cast({pos} div span as int)"))
-    one = one.withColumn("_a", F.expr(f"if(_s = 0, {_CENTRE}, named_struct('x', points[_s - 1].x, 'y', points[_s - 1].y))"))
-    parts = one.select(key, F.col(pos).alias("pos"), "span", "alphabet", "n", "ratio", "vx", "vy", F.expr("points[_s].c").alias("c"), F.expr("points[_s].x").alias("x"), F.expr("points[_s].y").alias("y"), F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"))
+    at = lambda f, i: f"coalesce(try_element_at(points, {i}).{f}, 0.0D)"
+    parts = one.select(key, F.col(pos).alias("pos"), "span", "alphabet", "n", F.expr("points[_s].c").alias("c"), F.expr("points[_s].x").alias("x"), F.expr("points[_s].y").alias("y"), *(F.expr(f"if(_s = 0, 0.0D, {at(f, 'greatest(_s, 1)')})").alias("a" + f) for f in "xy"))
     return decode_spans(parts).select(key, "pos", F.expr("alphabet[out[cast(pos % span as int)]]").alias("symbol"))
 
 
@@ -148,18 +169,15 @@ def anchors(archive: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def in_hull(points: DataFrame, n: int, tol: float = 0.0) -> DataFrame:
-    """Adds ``inside``: whether (x, y) lies in the regular polygon of n corners on the unit circle."""
-    turn = [math.pi / 2 - 2 * math.pi * j / n for j in range(n)]
-    far = F.hypot("x", "y")
-    edges = F.lit(True)
-    for i in range(n if n > 2 else 0):
-        ax, ay, bx, by = math.cos(turn[i]), math.sin(turn[i]), math.cos(turn[(i + 1) % n]), math.sin(turn[(i + 1) % n])
-        edges &= (bx - ax) * (F.col("y") - ay) - (by - ay) * (F.col("x") - ax) <= tol
-    return points.withColumn("inside", F.when(far <= (math.cos(math.pi / n) if n > 2 else 1.0), True).when(far > 1 + tol, False).otherwise(edges))
+    """Adds ``inside``: whether (x, y) lies in the regular polygon of n corners on the unit circle: on the inner side of the edge that its direction meets."""
+    if n < 3:
+        return points.withColumn("inside", F.hypot("x", "y") <= 1 + tol)
+    turn = F.atan2(F.col("x"), F.col("y")) * (n / (2 * math.pi))  # clockwise from the first corner, in edges
+    middle = (F.floor(turn) + 0.5) * (2 * math.pi / n)
+    return points.withColumn("inside", F.col("x") * F.sin(middle) + F.col("y") * F.cos(middle) - math.cos(math.pi / n) <= tol)
 
 
 def previous_point(points: DataFrame, key: str = "doc_id") -> DataFrame:
     """The anchor as a window expression, for archives kept as rows: adds ax, ay."""
     w = Window.partitionBy(key).orderBy("span_no")
     return points.withColumn("ax", F.lag("x", 1, 0.0).over(w)).withColumn("ay", F.lag("y", 1, 0.0).over(w))
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtrace.functions.symbols import with_geometry, with_ids
+from symtrace.functions.symbols import ring_sizes, with_ids, with_sizes
 from symtrace.operators import grid, pack, ring
 from symtrace.operators.reports import memory_bytes
 from symtrace.sources.corpus import spread, table
@@ -24,8 +24,8 @@ def alphabet_stats(spark, sf_dir):
 
 def kissing_ratio(spark, sf_dir):
     d = with_ids(_docs(spark, sf_dir)).where("n > 0").groupBy("n").agg(F.count("*").alias("docs"))
-    g = with_geometry(d)
-    return g.select(F.col("n").cast(long).alias("n"), "docs", F.round("ratio", 9).alias("ratio"), *(F.col(c).cast(long).alias(c) for c in ("span", "cpv", "k", "grid_span")))
+    g = with_sizes(d).withColumn("ring", ring_sizes("n"))
+    return g.select(F.col("n").cast(long).alias("n"), "docs", F.round("ring.ratio", 9).alias("ratio"), F.col("ring.span").cast(long).alias("span"), *(F.col(c).cast(long).alias(c) for c in ("cpv", "k", "grid_span")))
 
 
 def grid_archive(spark, sf_dir):
@@ -91,10 +91,10 @@ def ring_anchors(spark, sf_dir):
 
 
 def ring_roundtrip(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    got = ring.decode(ring.encode(docs))
-    j = docs.join(got, "doc_id", "left")
-    return j.select("doc_id", F.length("text").cast(long).alias("length"), F.coalesce("n_spans", F.lit(0)).cast(long).alias("n_spans"), (F.coalesce("decoded", F.lit("")) == F.col("text")).alias("lossless"))
+    # the text travels with its archive, so the comparison needs no join
+    archive = ring.encode(_docs(spark, sf_dir).select(F.struct("doc_id", "text").alias("_key"), "text"), key="_key")
+    got = ring.decode(archive, "_key")
+    return got.select("_key.doc_id", F.length("_key.text").cast(long).alias("length"), F.col("n_spans").cast(long).alias("n_spans"), (F.col("decoded") == F.col("_key.text")).alias("lossless"))
 
 
 def ring_char_at(spark, sf_dir):

@@ -19,7 +19,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_rate(spark, sf_dir):
-    r = rates.ngram_rate(_docs(spark, sf_dir), orders=(0, 1, 2))
+    r = rates.ngram_rate(_docs(spark, sf_dir))
     return r.select("doc_id", F.col("ord").cast(long).alias("ord"), "symbols", F.round("bits", 4).alias("bits"), F.round("bpc", 6).alias("bpc"))
 
 
@@ -189,8 +189,8 @@ def cell_geometry(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (ngram_rate, order0_model, ideal_bits, perplexity_halves, damage_regions, damage_map, bit_allocation, interval_coder_lossy, zlib_size, lzma_size, vq_assign, rvq_reconstruct, rvq_hybrid, exact_window, storage_report, kmeans_train, token_offsets, token_at, history_memory, semantic_separation, kv_footprint, pareto_ratio, cell_geometry)}
 
 _BITS = """b AS (SELECT doc_id, pos, ord, -log2(row_number() OVER (PARTITION BY doc_id, ord, ctx, sym ORDER BY pos) / (row_number() OVER (PARTITION BY doc_id, ord, ctx ORDER BY pos) - 1 + n)) AS bits
-FROM (SELECT doc_id, pos, sym, n, ord, CASE ord WHEN 0 THEN '' WHEN 1 THEN coalesce(p1, '') ELSE coalesce(p2, '') || coalesce(p1, '') END AS ctx
-FROM (SELECT doc_id, pos, sym, n, lag(sym, 1) OVER w AS p1, lag(sym, 2) OVER w AS p2 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), unnest([0, 1, 2]) t(ord)))"""
+FROM (SELECT doc_id, pos, sym, n, ord, concat(CASE WHEN ord > 5 THEN p6 END, CASE WHEN ord > 4 THEN p5 END, CASE WHEN ord > 3 THEN p4 END, CASE WHEN ord > 2 THEN p3 END, CASE WHEN ord > 1 THEN p2 END, CASE WHEN ord > 0 THEN p1 END) AS ctx
+FROM (SELECT doc_id, pos, sym, n, lag(sym, 1) OVER w AS p1, lag(sym, 2) OVER w AS p2, lag(sym, 3) OVER w AS p3, lag(sym, 4) OVER w AS p4, lag(sym, 5) OVER w AS p5, lag(sym, 6) OVER w AS p6 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), unnest([0, 1, 2, 3, 4, 5, 6]) t(ord)))"""
 _MARKS = "mk AS (SELECT doc_id, pos, sym IN ('a', 'e', 'i', 'o', 'u') AS bad FROM sy)"
 _VEC = """v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) - 2 AS last FROM embeddings),
 b1 AS (SELECT label, pos AS cid, vec AS c FROM v WHERE pos < 8), b2 AS (SELECT label, pos - 8 AS cid, list_transform(vec, lambda x: x / 4) AS c FROM v WHERE pos >= 8 AND pos < 16),

@@ -7,13 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtrace.functions.symbols import kissing_ratio
+from symtrace.functions.symbols import grid_side, kissing_ratio
 from symtrace.operators import retrieval as R
 from symtrace.sources.corpus import spread, table
 
 long = "bigint"
-#: Fixed value: lengths of the queries that are cut from benchmark items.
-LENGTHS = (6, 8, 12)
+LENGTHS = R.LENGTHS
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +73,7 @@ def index_precision_f32(spark, sf_dir):
 def index_precision_f16(spark, sf_dir):
     """As at 32 bits, with 16; what a radius this wide finds is not exact, so there is no SQL for it."""
     docs, q, found = _found(spark, sf_dir, "ring", "f16")
-    q12 = q.where("length(query) = 12")
-    r = R.precision_recall(found.join(q12.select("query_id"), "query_id", "left_semi"), R.occurrences(docs, q12), q12)
+    r = R.precision_recall(found, R.occurrences(docs, q), q)
     return r.groupBy(F.col("q").cast(long).alias("q")).agg(F.sum("n_found").cast(long).alias("n_found"), F.sum("n_true").cast(long).alias("n_true"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
@@ -100,11 +98,8 @@ def nearest_point(spark, sf_dir):
 def decay_law(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     alphabet = R.corpus_alphabet(docs)
-    n = len(alphabet)
-    r = kissing_ratio(max(n, 1))
-    index = R.walk_index(docs, alphabet, "ring").join(docs.select("doc_id", F.length("text").alias("len")), "doc_id")
-    partner = F.expr("cast(pos * 7919L % len as int) + 1")
-    got = R.decay(index, partner, docs, r, 2 * F.pow(F.lit(r), F.col("suffix")))
+    r = kissing_ratio(max(len(alphabet), 1))
+    got = R.decay(docs, alphabet, "ring", 2 * F.pow(F.lit(r), F.col("suffix")))
     # the median of distances near rounding says nothing, so distances are given in ratios of the bound
     return got.select(F.col("suffix").cast(long).alias("suffix"), "n", F.round(F.col("median_distance") / F.col("theory"), 4).alias("of_bound"))
 
@@ -122,9 +117,8 @@ def hop_context(spark, sf_dir):
 def decay_grid(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     alphabet = R.corpus_alphabet(docs)
-    k = R.grid_side(len(alphabet))
-    index = R.walk_index(docs, alphabet, "grid").join(docs.select("doc_id", F.length("text").alias("len")), "doc_id")
-    got = R.decay(index, F.expr("cast(pos * 7919L % len as int) + 1"), docs, 1 / k, math.sqrt(2) * F.pow(F.lit(1.0 / k), F.col("suffix")), cap=24, keep_zero=True)
+    k = grid_side(len(alphabet))
+    got = R.decay(docs, alphabet, "grid", math.sqrt(2) * F.pow(F.lit(1.0 / k), F.col("suffix")), cap=24, keep_zero=True)
     return got.select(F.col("suffix").cast(long).alias("suffix"), "n", (F.col("median_distance") <= F.col("theory")).alias("within_bound"))
 
 
@@ -135,7 +129,7 @@ al AS (SELECT sym, row_number() OVER (ORDER BY sym) - 1 AS id, count(*) OVER ()
 g AS (SELECT n, CASE WHEN n <= 4 THEN 0.5::DOUBLE ELSE 1 / (2 * (1 + (SELECT sum(cos(2 * pi() * j / n)) FROM unnest(range(1, n // 4 + 1)) t(j)))) END AS r, CASE WHEN n <= 4 THEN 2 WHEN n <= 16 THEN 4 WHEN n <= 64 THEN 8 WHEN n <= 256 THEN 16 WHEN n <= 1024 THEN 32 ELSE 64 END AS k FROM (SELECT DISTINCT n FROM al)),
 v AS (SELECT al.id, sym, cos(pi() / 2 - 2 * pi() * id / al.n) AS vx, sin(pi() / 2 - 2 * pi() * id / al.n) AS vy, id % k AS gx, id // k AS gy, r, k FROM al, g),
 c AS (SELECT doc_id, pos, v.* FROM sy JOIN v USING (sym))"""
-_QUERIES = "q AS (SELECT item_id * 100 + l AS query_id, l AS q, substring(text, ((item_id * 13) % (length(text) - l + 1) + 1)::BIGINT, l) AS query FROM benchmark, unnest([6, 8, 12]) t(l) WHERE length(text) >= l)"
+_QUERIES = "q AS (SELECT item_id * 100 + l AS query_id, l AS q, substring(text, ((item_id * 13) % (length(text) - l + 1) + 1)::BIGINT, l) AS query FROM benchmark, unnest([3, 4, 6, 8, 12]) t(l) WHERE length(text) >= l)"
 _WINDOWED = """ring AS (SELECT doc_id, pos, {x} AS x, {y} AS y FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 _BACK = 14
 _LAGS = lambda v: " + ".join(f"(1 - r) * pow(r, {j}) * coalesce(lag({v}, {j}) OVER w, 0)" for j in range(_BACK))
