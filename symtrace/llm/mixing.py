@@ -1,15 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents queue in an order shuffled by a hash of id and text, once and then again for every further
-epoch. A document's virtual start and finish are its source's words before and through it, divided by
-the source's target, which is its weight's share of the budget after targets above ``epochs`` times a
-source's size are cut and their excess reshared. All queues run at once, so the mix is everything in
-order of virtual finish, range-sorted over the cluster, cut where the budget is spent: at virtual time
-1, where each source has given its target. A document that the cut meets gives its first words up to
-the cut, so a source's share differs from its target by less than a word.
+epoch. A document's virtual finish is its source's words through it, divided by the source's target, which is its
+weight's share of the budget after targets above ``epochs`` times a source's size are cut and their excess reshared.
+A queue is served to virtual time 1, where it has given its target; a document that this cuts gives its first words.
+All queues run at once, so the mix is everything in order of virtual finish, range-sorted over the cluster and truncated
+where the words before reach the total budget.
 
-Running sums go by (source, range of the hash) and are carried on over the ranges, so that a source
-with a third of all rows is spread like the rest.
+Running sums go by (source, range of the hash), and over all sources by ranges of virtual time, and are carried on over
+the ranges, so that a source with a third of all rows is spread like the rest.
 
 Defined cases: null and empty texts have size 0 and give nothing; a null source is a source, the last
 in order; the same doc_id twice makes two documents; a table without words has targets of 0; extra
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import Scratch
+from symtrace.llm.common import Scratch, bounded
 
 RANGE_ROWS = 4096  #: documents of a source in one range of the hash, about
 
@@ -66,30 +65,46 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: int = 2,
 
     All columns of ``docs`` but the text, and size, source_size, target, epoch, taken, finish.
     """
-    spark = docs.sparkSession
-    work = Scratch(spark, "mixing")
-    return _dealt(_sized(work, docs, weights, share, epochs, seed), epochs).where("taken > 0").repartitionByRange(F.col("finish"), F.col("h")).sortWithinPartitions("finish", "h").drop("h", "before")
+    work = Scratch(docs.sparkSession, "mixing")
+    dealt = _dealt(work, _sized(work, docs, weights, share, epochs, seed), epochs)
+    return dealt.where("taken > 0").repartitionByRange(F.col("finish"), F.col("h")).sortWithinPartitions("finish", "h").drop("h", "before", "_place")
 
 
 def _sized(work: Scratch, docs: DataFrame, weights, share, epochs, seed) -> DataFrame:
-    own = [c for c in docs.columns if c not in ("text", "doc_id", "source", "size", "source_size", "target", "epoch", "taken", "finish", "h", "n", "before", "range")]
+    own = [c for c in docs.columns if c not in ("text", "doc_id", "source", "size", "source_size", "target", "epoch", "taken", "finish", "h", "n", "before", "range", "_place")]
     rows = docs.select(F.col("doc_id"), F.col("source"), *own, size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"))
-    rows = work.keep(rows, "sizes")
-    return _queued(work, rows, targets(work, rows, weights, share, epochs))
+    rows = work.keep(rows.withColumn("_place", F.monotonically_increasing_id()), "sizes")
+    return work.keep(_queued(work, rows, targets(work, rows, weights, share, epochs)), "ordered")
+
 
+def _dealt(work: Scratch, queued: DataFrame, epochs: int) -> DataFrame:
+    """Adds epoch, finish and taken: what the budget holds of each row in the order of virtual finish.
 
-def _dealt(queued: DataFrame, epochs: int) -> DataFrame:
+    A source's queue is served to virtual time 1, a last document in part, so that documents of any length leave its words
+    within one of its target. Served rows are dealt by ranges of virtual finish and truncated where the words before, of
+    all sources, reach the total budget.
+    """
     d = queued.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
+    end = F.floor(F.col("target") + 1e-6)  # whole words by virtual time 1
     start = F.col("epoch") * F.col("source_size") + F.col("before")
-    # rounding the target makes the cut fall between words
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - start)).cast("long")
-    return d.withColumn("taken", taken).withColumn("finish", (start + F.col("taken")) / F.col("target")).drop("n")
+    d = d.withColumn("served", F.greatest(F.lit(0), F.least(F.col("size"), end - start)).cast("long"))
+    d = d.withColumn("finish", F.when(F.col("target") > 0, (start + F.col("served")) / F.col("target")))
+    ranges = max(1, queued.count() // RANGE_ROWS)
+    d = d.withColumn("range", F.when(F.col("served") > 0, F.floor(F.least(F.col("finish"), F.lit(1.0)) * ranges)).otherwise(F.lit(ranges + 1) + F.pmod("h", F.lit(ranges))).cast("long"))
+    each = queued.groupBy("source").agg(F.first("target").alias("target"))
+    budget = each.agg(F.coalesce(F.sum(end), F.lit(0)).cast("long")).first()[0]
+    sums = work.keep(d.groupBy("range").agg(F.sum("served").alias("sum")), "ranges")
+    # a range is a few numbers for thousands of rows; theirs is the only order over all
+    carried = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("carried"))
+    own = Window.partitionBy("range").orderBy("finish", "h", "_place", "epoch").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("within", F.coalesce(F.sum("served").over(own), F.lit(0))).join(bounded(carried), "range")
+    taken = F.greatest(F.lit(0), F.least(F.col("served"), F.lit(budget) - F.col("carried") - F.col("within")))
+    return d.withColumn("taken", taken.cast("long")).drop("n", "range", "within", "carried", "served")
 
 
 def mixture(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 1) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken over all epochs."""
+    """One row a document: doc_id, source, size, source_size, target, and what the mix takes over all epochs, by its virtual finish times."""
     work = Scratch(docs.sparkSession, "mixing")
-    q = _sized(work, docs.select("doc_id", "source", "text"), weights, share, epochs, seed)
-    cut = F.floor(F.col("target") + 0.5)
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - (F.col("source_size") * e + F.col("before")))) for e in range(epochs)), F.lit(0))
-    return q.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    dealt = _dealt(work, _sized(work, docs.select("doc_id", "source", "text"), weights, share, epochs, seed), epochs)
+    one = F.first(F.struct("doc_id", "source", "size", "source_size", "target")).alias("d")
+    return dealt.groupBy("_place").agg(one, F.sum("taken").alias("taken")).select("d.*", "taken")
