@@ -23,6 +23,7 @@ import json
 import struct
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -52,21 +53,35 @@ class ZipWriter:
         self.out.write(data)
         self.at += len(data)
 
+    def begin(self, name: str) -> None:
+        """A member whose size and sum aren't known yet; they follow its data, so nothing is held back or sought."""
+        raw, extra = name.encode(), _extra64(0, 0)
+        self.own = [raw, 0, 0, self.at]
+        self._put(struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x808, 0, 0, 0x21, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), len(extra)) + raw + extra)
+
+    def add(self, data: bytes) -> int:
+        """Writes a part of the member; its offset within the member."""
+        at = self.own[2]
+        self.own[1], self.own[2] = zlib.crc32(data, self.own[1]), at + len(data)
+        self._put(data)
+        return at
+
+    def end(self) -> None:
+        _, crc, size, _ = self.own
+        self._put(struct.pack("<IIQQ", 0x08074B50, crc, size, size))
+        self.entries.append(tuple(self.own))
+
     def member(self, name: str, parts: list[bytes]) -> None:
-        crc, size = 0, 0
+        self.begin(name)
         for p in parts:
-            crc, size = zlib.crc32(p, crc), size + len(p)
-        raw, began, extra = name.encode(), self.at, _extra64(size, size)
-        self._put(struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x800, 0, 0, 0x21, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), len(extra)) + raw + extra)
-        for p in parts:
-            self._put(p)
-        self.entries.append((raw, crc, size, began))
+            self.add(p)
+        self.end()
 
     def close(self) -> None:
         began = self.at
         for raw, crc, size, offset in self.entries:
             extra = _extra64(size, size, offset)
-            self._put(struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45, 0x800, 0, 0, 0x21, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + raw + extra)
+            self._put(struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45, 0x808, 0, 0, 0x21, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + raw + extra)
         size, end = self.at - began, self.at
         n = len(self.entries)
         self._put(struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, n, n, size, began))
@@ -122,19 +137,35 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> bytes:
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+def name_of(page_id, place) -> str:
+    """A record's id: the page's, and its place, which tells repeated and missing ids apart."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{place}>"
+
+
+def record(page_id, place, url, payload: bytes, refers_to, first, revisit: bool, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name_of(page_id, place)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {name_of(refers_to, first)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(file: str, date: str) -> bytes:
+    """The record that opens a file; the index doesn't list it."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{file}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"WARC-Filename: {file}.warc.gz", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _zipped(raw: bytes) -> bytes:
+    made = zlib.compressobj(6, wbits=31)
+    return made.compress(raw) + made.flush()
+
+
 def parse(raw: bytes) -> dict:
     """A record's fields; the payload's digest and length are checked where the record has the payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -145,7 +176,7 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     n = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    own = lambda k: int(fields[k][10:-1]) if fields.get(k, "<urn:page:>") != "<urn:page:>" else None
+    own = lambda k: int(i) if (i := fields.get(k, "<urn:page::>")[10:-1].split(":")[0]) else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != n or digest_of(payload) != digest):
@@ -160,40 +191,41 @@ def parse(raw: bytes) -> dict:
 
 
 def write_archives(work: Scratch, pages: DataFrame, least: int = 0) -> DataFrame:
-    """(path, records): one archive for each task that has pages, in the run's shared folder."""
+    """(path, records, bytes): one archive for each task that has pages, in the run's shared folder."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = work.keep(p.withColumn("place", F.monotonically_increasing_id()).withColumn("key", F.sha1(F.col("html").cast("binary"))), "pages")
     long_ = p.where(F.octet_length("html") >= least)
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "place"))
     groups = long_.groupBy("key").agg(first.alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("first.page_id").alias("refers_to"), F.col("first.place").alias("first"))
     # places of revisits are found without the texts, then meet them by place, which no key makes hot
-    again = attach(long_.select("key", "place"), groups, ["key"], "m", max(1, p.count())).where("place <> first").select("place", "refers_to", F.lit(True).alias("revisit"))
+    again = attach(long_.select("key", "place"), groups, ["key"], "m", max(1, p.count())).where("place <> first").select("place", "refers_to", "first", F.lit(True).alias("revisit"))
     again = work.keep(again, "again")  # written, so that its size is known and few revisits don't make the pages move
-    rows = p.join(again, "place", "left").select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
-    folder = work.path("archives")
+    rows = p.join(again, "place", "left").select("page_id", "place", "url", "html", "refers_to", "first", F.coalesce("revisit", F.lit(False)).alias("revisit"))
+    folder, date = work.path("archives"), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def pack(batches):
-        parts, index, at = [], [], 0
+        # records go out as they are made; only the index waits for the end
+        out, index, name = None, [], uuid.uuid4().hex
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "revisit"))):
-                page_id, url, html, refers_to, revisit = r
-                made = zlib.compressobj(6, wbits=31)
-                raw = made.compress(record(page_id, url, html.encode(), refers_to, revisit)) + made.flush()
-                index.append(json.dumps({"id": page_id, "offset": at, "length": len(raw)}))
-                parts.append(raw)
-                at += len(raw)
-        if parts:
-            store, top = fs.FileSystem.from_uri(folder)
-            store.create_dir(top, recursive=True)
-            name = f"{top}/{uuid.uuid4().hex}.zip"
-            with store.open_output_stream(name) as out:
-                z = ZipWriter(out)
-                z.member(DATA, parts)
-                z.member(INDEX, ["\n".join(index).encode()])
-                z.close()
-            yield pa.record_batch({"path": pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), "records": pa.array([len(parts)], pa.int64())})
-
-    return work.keep(rows.mapInArrow(lean(pack), "path string, records long"), "written")
+            for i in range(batch.num_rows):
+                page_id, place, url, html, refers_to, first, revisit = (batch.column(c)[i].as_py() for c in ("page_id", "place", "url", "html", "refers_to", "first", "revisit"))
+                if out is None:
+                    store, top = fs.FileSystem.from_uri(folder)
+                    store.create_dir(top, recursive=True)
+                    out = store.open_output_stream(f"{top}/{name}.zip")
+                    z = ZipWriter(out)
+                    z.begin(DATA)
+                    z.add(_zipped(info(name, date)))
+                raw = _zipped(record(page_id, place, url, html.encode(), refers_to, first, revisit, date))
+                index.append(json.dumps({"id": page_id, "offset": z.add(raw), "length": len(raw)}))
+        if out is not None:
+            z.end()
+            z.member(INDEX, ["\n".join(index).encode()])
+            z.close()
+            out.close()
+            yield pa.record_batch({"path": pa.array([f"{folder}/{name}.zip"]), "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([z.at], pa.int64())})
+
+    return work.keep(rows.mapInArrow(lean(pack), "path string, records long, bytes long"), "written")
 
 
 def _opened(uri: str):
@@ -231,7 +263,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.record_batch({c: pa.array([g[c] for g in got], kinds.get(c, pa.string())) for c in names})
 
     ranges = archives.select("path").mapInArrow(locate, "path string, offsets array<long>, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.element_at("offsets", 1)).mapInArrow(lean(read), RECORD + ", payload binary" * payloads)
+    # ranges are small rows that stand for much work, so their tasks are counted by the archives' bytes
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] if "bytes" in archives.columns else 0
+    tasks = max(1, size // RANGE, 0 if size else archives.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartition(tasks).mapInArrow(lean(read), RECORD + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, least: int = 0, payloads: bool = False) -> DataFrame:

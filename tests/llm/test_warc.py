@@ -1,3 +1,4 @@
+import gzip
 import base64
 import hashlib
 import io
@@ -68,10 +69,24 @@ def directory_data(f):
 
 
 def test_broken_payload_is_noticed():
-    raw = warc.record(1, "u", b"payload", None, False).replace(b"payload\r\n\r\n", b"paylOad\r\n\r\n")
+    raw = warc.record(1, 0, "u", b"payload", None, None, False, "2024-01-01T00:00:00Z").replace(b"payload\r\n\r\n", b"paylOad\r\n\r\n")
     with pytest.raises(ValueError, match="digest"):
         warc.parse(raw)
 
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_records_have_what_the_format_asks_for(spark):
+    p = spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x"), (None, "u", "y"), (None, "u", None)], "page_id long, url string, html string").coalesce(1)
+    written = warc.write_archives(warc.Scratch(spark, "warc-test"), p)
+    path = written.first().path
+    with warc._opened(path) as f:
+        members = warc.directory(f, f.size())
+        raw = warc._at(f, *members[warc.DATA])
+    records = [r for r in gzip.decompress(raw).split(b"WARC/1.1\r\n") if r]
+    kinds = [r.split(b"\r\n")[0] for r in records]
+    assert kinds[0] == b"WARC-Type: warcinfo" and len(records) == 5
+    ids = [line for r in records for line in r.split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert len(set(ids)) == 5 and all(b"\r\nWARC-Date: 2" in r for r in records)
