@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -90,6 +92,50 @@ def test_mixing(docs):
     assert [r.finish for r in mix] == sorted(r.finish for r in mix) and max(r.finish for r in mix) < 1.01
 
 
+def test_mixing_orders_by_virtual_finish(spark):
+    """Every row's place against queues in plain Python."""
+    rows = [(i, f"s{i % 4}", " ".join(["w"] * (i * 7 % 23))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    target = {r.source: r.target for r in mixing.mixture(docs).collect()}
+    at: dict = Counter()
+    for r in got:  # rows of a source follow each other without a gap, and what ends earlier comes earlier
+        at[r.source] += r.taken
+        assert r.finish == pytest.approx(at[r.source] / target[r.source]) and r.finish <= 1 + 1e-6
+    assert all(at[s] == int(t + 1e-6) for s, t in target.items())
+    spent = mixing.mixture(docs).agg({"taken": "sum"}).first()[0]
+    assert spent == sum(at.values()) == sum(int(t + 1e-6) for t in target.values())
+
+
+def test_a_candidate_of_a_million_characters_takes_linear_time():
+    rnd = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in ("".join(rnd.choices(letters, k=1_000_000)), "a" * 1_000_000, "".join(rnd.choices(letters[:52], k=500_000)) + "_" * 9, "password" + " " * 500_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20
+
+
+def test_entropy_spans_equal_counting_every_window():
+    rnd = random.Random(5)
+    for _ in range(150):
+        kind = rnd.choice(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abAB01", "abc-_/="])
+        text = "".join(rnd.choices(kind, k=rnd.randrange(20, 70)))
+        want = []
+        for i in range(len(text) - secrets.WINDOW + 1):
+            w = text[i : i + secrets.WINDOW]
+            bits = -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
+            lower, upper, digit = (any(f(c) for c in w) for f in (str.islower, str.isupper, str.isdigit))
+            only_hex = digit and lower != upper and all(c in "0123456789abcdefABCDEF" for c in w)
+            k = "entropy_hex" if only_hex and bits >= secrets.HEX_BITS - 1e-9 else "entropy_mixed" if lower and upper and digit and bits >= secrets.MIXED_BITS - 1e-9 else None
+            if k:
+                if want and want[-1][2] == k and want[-1][1] >= i:
+                    want[-1][1] = i + secrets.WINDOW
+                else:
+                    want.append([i, i + secrets.WINDOW, k])
+        assert secrets._entropy_spans(text, 0, len(text)) == want
+
+
 def test_mixing_without_words(spark, docs):
     assert {r.taken for r in mixing.mixture(docs.where("text is null")).collect()} == {0}
     assert mixing.mixture(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
