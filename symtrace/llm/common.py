@@ -2,7 +2,7 @@
 
 Scratch tables are Parquet in the folder named by ``spark.checkpoint.dir``, so that lineage is
 cut by files which every executor sees. A temporary folder is used only where that setting is
-absent, as in tests on one machine.
+absent and the session has no executors but its own process, as in tests.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one is set only if the session names none."""
+    """The session's shared folder. One is made only for a session of one machine that names none; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symtrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -98,7 +101,8 @@ _STEP = _U(0x9E3779B97F4A7C15)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE_FOLDED = _BYTE[_FOLD]
-_POWERS = np.cumprod(np.full(1 << 10, _STEP, dtype=np.uint64))
+_BACK = _U(pow(int(_STEP), -1, 1 << 64))
+_POWERS = _INVERSE = np.zeros(0, np.uint64)
 SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[ord(c) for c in SPACES]] = True
 NOT_WORD_BYTES = np.zeros(256, dtype=bool)
@@ -147,27 +151,59 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the step, and of its inverse; odd numbers have one."""
+    global _POWERS, _INVERSE
+    if n > len(_POWERS):
+        n = max(n, 2 * len(_POWERS))
+        _POWERS, _INVERSE = (np.cumprod(np.full(n, x, dtype=np.uint64)) for x in (_STEP, _BACK))
+    return _POWERS, _INVERSE
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word with A-Z lower-cased, and the n + 1 offsets of the rows' words."""
-    global _POWERS
+    """Hash of every word with A-Z lower-cased, and the n + 1 offsets of the rows' words.
+
+    A word's bytes are weighed by powers of their places among all bytes; running sums give each word's part, and the
+    inverse power of its first place makes it the same wherever the word stands.
+    """
     inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
     edge = at[1:-1]
-    edge = edge[edge < len(data)]
+    edge = edge[(edge < len(data)) & (edge > 0)]
     first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
     starts = np.flatnonzero(first)
     rows = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), rows
-    where = np.flatnonzero(inside)
-    begins = np.flatnonzero(first[where])
-    lengths = np.diff(np.append(begins, len(where)))
-    place = np.arange(len(where)) - np.repeat(begins, lengths)
-    if (top := int(lengths.max())) > len(_POWERS):
-        _POWERS = np.cumprod(np.full(2 * top, _STEP, dtype=np.uint64))
-    value = _BYTE_FOLDED[data[where]] * _POWERS[place]
-    return mix(np.add.reduceat(value, begins) + lengths.astype(np.uint64)), rows
+    ends = np.flatnonzero(last) + 1
+    powers, inverse = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_FOLDED[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), rows
+
+
+def row_shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of all rows, whose words lie one after another, and the n + 1 offsets."""
+    n = np.diff(rows)
+    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    at = np.r_[0, np.cumsum(count)]
+    out = np.zeros(at[-1], np.uint64)
+    if len(words) >= k:
+        whole = shingle_hashes(words, k)
+        long_ = np.repeat(n >= k, count)
+        place = np.arange(at[-1]) + np.repeat(rows[:-1] - at[:-1], count)
+        out[long_] = whole[place[long_]]
+    for size in range(1, k):
+        short = np.flatnonzero(n == size)
+        g = np.full(len(short), size, np.uint64)
+        for i in range(size):
+            g = mix(g * _STEP + words[rows[short] + i])
+        out[at[short]] = g
+    return out, at
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -8,9 +8,11 @@ overlap of common paths, and drops a subtree as soon as what is left on both sid
 overlap that the threshold asks for.
 
 Links are wanted as components, so a posting list is not expanded into all its pairs: the members of a
-list first meet a few hubs for each class of sizes. Linked sets are labelled by the component of these links, and
-then only pairs of a list whose labels differ are compared, all of them. Before whole sets travel, a pair must
-pass a parity bitmap: bits that differ between two sets' bitmaps number at most the items that differ.
+list first meet a hub for each class of sizes. Linked sets are labelled by the component of these links; then each
+member meets the closest of another label by bitmap, sets are labelled anew, and last all pairs of a list whose labels
+still differ are compared. Before whole sets travel, a pair must
+pass a parity bitmap: bits that differ between two sets' bitmaps number at most the items that differ. Lists meet
+in buckets of a hash, as arrays; a list of more than ``PART`` members is dealt over several buckets.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
 fewer than five words make one shingle of the whole sequence; equal texts and repeated rows share a
@@ -22,34 +24,33 @@ hashes and classes 64-bit ones; distinct ones are taken to differ.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import SPACE_BYTES, Scratch, attach, bounded, components, lean, mix, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import SPACE_BYTES, Scratch, attach, bounded, components, lean, mix, row_shingles, slices, text_bytes, word_hashes
 
 WIDTH = 20  #: bits of the count sketch; its size, and the broadcast's, is 2 ** WIDTH cells
-CHUNK = 1024  #: members that meet their hub in one group
-HUBS = 6  #: of a list and class of sizes
+CHUNK = 1024  #: members that meet their hub in one trie
+HUBS = 1  #: of a list and class of sizes
+PART = 2048  #: members of a list in one bucket
+BUCKET = 2000  #: rows of a bucket, about
 
 
 # ------------------------------------------------------------------ sets
 
 
-def _each_text(batch: pa.RecordBatch, column: str):
-    """(row, hashes of its shingles in order of the text)."""
-    texts = batch.column(column)
+def _each_slice(batch: pa.RecordBatch, k: int):
+    """(first row, last row, shingles of the rows one after another, their offsets) of runs of rows."""
+    texts = batch.column("text")
     for lo, hi in slices(texts):
         words, rows = word_hashes(*text_bytes(texts.slice(lo, hi - lo)), SPACE_BYTES)
-        for i in range(hi - lo):
-            yield lo + i, words[rows[i] : rows[i + 1]]
+        yield lo, hi, *row_shingles(words, rows, k)
 
 
-def ordered_set(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """Distinct shingles in the global order: 4 bits of crowding, then 60 bits of hash."""
-    cell = (shingles >> np.uint64(64 - WIDTH)).astype(np.int64)
-    return np.unique((crowded[cell].astype(np.uint64) << np.uint64(60)) | (shingles >> np.uint64(4)))
+def tokens_of(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Shingles as numbers that sort in the global order: 4 bits of crowding, then 60 bits of hash."""
+    return (crowded[(shingles >> np.uint64(64 - WIDTH)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (shingles >> np.uint64(4))
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -57,14 +58,43 @@ def bitmap(items: np.ndarray) -> np.ndarray:
     size = 64
     while size < 2 * len(items):
         size *= 2
-    return np.packbits((np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def alike(a: str, b: str, n: str, m: str, percent: int) -> str:
-    """SQL: whether the bitmaps of two sets of compatible sizes allow the overlap; the longer one is folded."""
-    half = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
-    differ = f"aggregate(zip_with({half(a, b)}, {half(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
-    return f"{differ} <= {n} + {m} - 2 * (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+    return np.packbits((np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of many sets, as matrices by size."""
+
+    def __init__(self, bits: list[np.ndarray], n: np.ndarray):
+        self.n = n
+        self.size = np.array([len(b) for b in bits], np.int64)
+        self.row = np.zeros(len(bits), np.int64)
+        self.whole = {}
+        for size in np.unique(self.size):
+            own = np.flatnonzero(self.size == size)
+            self.row[own] = np.arange(len(own))
+            self.whole[int(size)] = np.stack([bits[i] for i in own])
+        self.folded = {s: m[:, : s // 2] ^ m[:, s // 2 :] for s, m in self.whole.items() if s > 1}
+
+    def alike(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        return self.spare(a, b, percent) >= 0
+
+    def spare(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """By how much sizes and bitmaps of the pairs allow the overlap, below 0 if they don't; the longer bitmap is folded."""
+        n, m = self.n[a], self.n[b]
+        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        room = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+        out = np.full(len(a), -1, np.int64)
+        big, small = np.where(self.size[a] >= self.size[b], a, b), np.where(self.size[a] >= self.size[b], b, a)
+        for size in np.unique(self.size[small][fits]):
+            mine = np.flatnonzero(fits & (self.size[small] == size))
+            step = max(1, (1 << 20) // int(size))
+            for i in range(0, len(mine), step):
+                p = mine[i : i + step]
+                # sizes of sets that fit differ by less than a quarter, so one fold is enough
+                x = np.where((self.size[big[p]] == size)[:, None], self.whole[int(size)][np.where(self.size[big[p]] == size, self.row[big[p]], 0)], self.folded[2 * int(size)][np.where(self.size[big[p]] == size, 0, self.row[big[p]])] if 2 * int(size) in self.folded else np.uint64(0))
+                differ = np.bitwise_count(x ^ self.whole[int(size)][self.row[small[p]]]).sum(1, dtype=np.int64)
+                out[p] = room[p] - differ
+        return out
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -78,12 +108,9 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         total, any_ = np.zeros(cells, np.int64), False
         for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in slices(texts):
-                words, rows = word_hashes(*text_bytes(texts.slice(lo, hi - lo)), SPACE_BYTES)
-                got = [shingle_hashes(words[a:b], k) for a, b in zip(rows[:-1], rows[1:])]
-                cell = (np.concatenate(got) >> np.uint64(64 - WIDTH)).astype(np.int64)
-                total += np.bincount(cell, minlength=cells)
+            for *_, shingles, _ in _each_slice(batch, k):
+                cell, n = np.unique(shingles >> np.uint64(64 - WIDTH), return_counts=True)
+                total[cell.astype(np.int64)] += n
                 any_ |= len(cell) > 0
         if any_:
             yield _block_rows(total, block)
@@ -175,20 +202,25 @@ class Trie:
 
 
 def _probe(percent: int):
-    """Group function: one hub's rows (own true once) and candidates' rows; gives the links (a, b) that can hold."""
-
-    def run(key, t):
-        sets = [np.frombuffer(x, np.uint64) for x in t["items"]]
-        own = np.flatnonzero(t["own"].to_numpy())
-        rest = np.flatnonzero(~t["own"].to_numpy())
-        out: list[int] = []
-        if len(own) and len(rest):
-            h = own[0]
-            trie = Trie([sets[i] for i in rest], [int(t["n"].iloc[i]) for i in rest])
-            query = sets[h]
-            size = int(t["n"].iloc[h])
-            out = [int(t["cid"].iloc[rest[i]]) for i in trie.search(query, size, percent)]
-        return pd.DataFrame({"a": pd.Series([key[0]] * len(out), dtype="int64"), "b": pd.Series(out, dtype="int64")})
+    """Group function: rows of many hubs, each own once, and of their candidates; gives the links (a, b) that hold."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, salt, cid, n = (t.column(c).to_numpy() for c in ("a", "salt", "cid", "n"))
+        own, items = t.column("own").to_numpy(zero_copy_only=False), t.column("items").combine_chunks()
+        o = np.lexsort((~own, salt, a))
+        cut = np.flatnonzero(np.r_[True, (a[o][1:] != a[o][:-1]) | (salt[o][1:] != salt[o][:-1])])
+        left, right = [], []
+        for lo, hi in zip(cut, np.r_[cut[1:], len(o)]):
+            h, rest = o[lo], o[lo + 1 : hi]
+            if not own[h] or not len(rest):
+                continue
+            sets = [np.frombuffer(items[int(i)].as_buffer(), np.uint64) for i in o[lo:hi]]
+            trie = Trie(sets[1:], n[rest].tolist())
+            found = cid[rest[trie.search(sets[0], int(n[h]), percent)]]
+            left.append(np.full(len(found), a[h]))
+            right.append(found)
+        whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        return pa.table({"a": whole(left), "b": whole(right)})
 
     return run
 
@@ -205,17 +237,17 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def to_sets(batches):
         for batch in batches:
-            n, cid, prefix, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
-            for i, words in _each_text(batch, "text"):
-                s = ordered_set(shingle_hashes(words, k), crowded.value)
-                n[i] = len(s)
-                if len(s):
-                    cid[i] = _class_of(s)
-                    prefix[i] = s[: prefix_length(len(s), percent)].tobytes()
-                    bits[i] = bitmap(s)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n), "cid": pa.array(cid), "prefix": pa.array(prefix, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
-
-    sets = work.keep(base.mapInArrow(lean(to_sets), "doc_id long, text_key long, n long, cid long, prefix binary, bits array<long>"), "sets")
+            for lo, hi, shingles, at in _each_slice(batch, k):
+                tokens = tokens_of(shingles, crowded.value)
+                got = [np.unique(tokens[a:b]) for a, b in zip(at[:-1], at[1:])]
+                n = np.array([len(x) for x in got], np.int64)
+                cid = np.array([_class_of(x) if len(x) else 0 for x in got], np.int64)
+                prefix = [x[: prefix_length(len(x), percent)].tobytes() if len(x) else None for x in got]
+                bits = [bitmap(x).tobytes() if len(x) else None for x in got]
+                own = batch.slice(lo, hi - lo)
+                yield pa.record_batch({"doc_id": own.column("doc_id"), "text_key": own.column("text_key"), "n": pa.array(n), "cid": pa.array(cid), "prefix": pa.array(prefix, pa.binary()), "bits": pa.array(bits, pa.binary())})
+
+    sets = work.keep(base.mapInArrow(lean(to_sets), "doc_id long, text_key long, n long, cid long, prefix binary, bits binary"), "sets")
     filled = sets.where("n > 0")
     total, items = filled.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
     lists = _posting_lists(work, filled, crowded, int(items))
@@ -245,10 +277,17 @@ def all_links(work: Scratch, lists: DataFrame, bits: DataFrame, whole, percent:
         work.drop(f"{name}-likely", f"{name}-sets")
         return links
 
-    first = verified(_likely(_hub_pairs(lists, percent).distinct(), bits, percent), "hubs")
-    labels = work.keep(components(work, first, "labels").toDF("cid", "label"), "labels")
-    second = verified(_cross_likely(lists, labels, bits, percent), "rest")
-    return first.union(second)
+    # lists of more than PART members, each of which has a row here
+    long_ = work.keep(lists.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > PART), "long-lists")
+    buckets = max(1, -(-lists.count() // BUCKET))
+    met = _meetings(lists.withColumn("label", F.lit(None).cast("long")), long_, bits, buckets, percent)
+    first = verified(met, "hubs")
+    links = first
+    for name, every in (("closest", False), ("rest", True)):  # what the closest of other labels links needn't meet in all pairs
+        labels = work.keep(components(work, links, f"{name}-components").toDF("cid", "label"), f"{name}-labels")
+        links = links.union(verified(_meetings(_of_several(lists, labels, buckets * BUCKET), long_, bits, buckets, percent, every), name))
+        work.drop(f"{name}-labels")
+    return links
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -308,54 +347,114 @@ def _posting_lists(work: Scratch, filled: DataFrame, crowded, items: int, per_gr
     return postings.join(kept.select("token"), "token", "left_semi").select(F.col("token").alias("list"), "cid")
 
 
-def _size_class(n):
-    return F.floor(F.log(n) / F.log(F.lit(1.25)))
+def _of_several(lists: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(list, cid, n, label) of lists whose members have more than one label; a class without links is its own label."""
+    p = lists.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    by = p.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high").select("list", "m")
+    return attach(p, by, ["list"], "m", total).drop("m")
 
 
-def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each member with the hubs of its list, HUBS for each class of sizes, of its own class and those beside it.
+def _meetings(members: DataFrame, long_: DataFrame, bits: DataFrame, buckets: int, percent: int, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of a list that pass size and bitmap, each once: with hubs while ``label`` is null, then those whose labels differ, ``every`` one or each member's closest.
 
-    Hubs are first in their part of one hash for all lists, so that alike sets, which share most lists, share their hubs.
+    Members of a long list are dealt over its parts by a hash; what has to meet all of them, hubs and, later, the members
+    that don't have the list's most frequent label, visits every part.
     """
-    p = lists.withColumn("z", _size_class("n"))
-    hubs = p.groupBy("list", "z", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub"))
-    hubs = hubs.groupBy("list", "z").agg(F.collect_list("hub").alias("hubs"))
-    near = hubs.select("list", "hubs", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"))
-    met = p.join(near, ["list", "z"]).select(F.explode(F.expr(f"filter(hubs, h -> h.cid <> cid and 100 * least(n, h.n) >= {percent} * greatest(n, h.n))")).alias("h"), "cid", "n")
-    return met.select(F.col("h.cid").alias("a"), F.col("h.n").alias("an"), F.col("cid").alias("b"), F.col("n").alias("bn"))
-
-
-def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the bitmaps."""
-    d = pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("y")), "b")
-    return d.where(F.expr(alike("x", "y", "an", "bn", percent))).select("a", "b")
+    long_ = bounded(long_)
+    p = members.join(long_.select("list", F.ceil(F.col("m") / PART).alias("parts")), "list", "left")
+    z = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))
+    home = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cid"), F.col("parts"))).cast("int")
+    at_home = p.withColumn("part", home).withColumn("visits", F.lit(False))
+    dealt = p.where("parts is not null")
+    first = dealt.where("label is null").groupBy("list", "parts", z, F.pmod(F.xxhash64("cid"), F.lit(HUBS))).agg(F.min(F.struct(F.xxhash64("cid"), "cid", "n")).alias("h"))
+    first = first.select("list", F.col("h.cid").alias("cid"), F.col("h.n").alias("n"), F.lit(None).cast("long").alias("label"), "parts")
+    by = dealt.where("label is not null").groupBy("list", "label").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "label")).alias("top"))
+    few = dealt.join(bounded(by.select("list", F.col("top.label").alias("top"))), "list").where("label <> top").select("list", "cid", "n", "label", "parts")
+    guests = first.unionByName(few).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).withColumn("visits", F.lit(True))
+    names = ["list", "part", "cid", "n", "label", "visits"]
+    rows = at_home.select(names).unionByName(guests.select(names)).join(bits, "cid")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("list", "part"), F.lit(buckets)))
+    return rows.groupBy("g").applyInArrow(_meet(percent, every), "a long, b long").distinct()
+
+
+SIZE_STEP = 1.25  #: of the classes of sizes; sets that can link are in the same class or in neighbours
+SMALL = 48  #: members of a list whose pairs are made at once
+
+
+def _meet(percent: int, every: bool):
+    """Group function of ``_meetings``: the rows of many lists, or parts of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cid, n = t.column("cid").to_numpy(), t.column("n").to_numpy()
+        visits = t.column("visits").to_numpy(zero_copy_only=False)
+        plain = t.column("label").null_count == t.num_rows
+        packed = t.column("bits").combine_chunks()
+        alike = Bitmaps([np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(t.num_rows)], n)
+        key = mix(cid.view(np.uint64))
+        lists_, part = t.column("list").to_numpy(), t.column("part").to_numpy()
+        o = np.lexsort((part, lists_))
+        group = np.empty(len(o), np.int64)
+        group[o] = np.cumsum(np.r_[False, (lists_[o][1:] != lists_[o][:-1]) | (part[o][1:] != part[o][:-1])])
+        found_a, found_b = [], []
+
+        def test(a, b):
+            spare = alike.spare(a, b, percent)
+            ok = np.flatnonzero(spare >= 0)
+            if not plain and not every and len(ok):
+                ok = ok[np.argsort(-spare[ok], kind="stable")]
+                ok = ok[np.unique(a[ok], return_index=True)[1]]
+            a, b = a[ok], b[ok]
+            swap = key[a] > key[b]
+            found_a.append(cid[np.where(swap, b, a)])
+            found_b.append(cid[np.where(swap, a, b)])
+
+        if plain:
+            z = np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
+            place = group * 256 + z  # sizes below 1.25 ** 253
+            o = np.lexsort((key, ~visits, place))
+            sorted_ = place[o]
+            for beside in (-1, 0, 1):
+                lo, hi = np.searchsorted(sorted_, sorted_ + beside), np.searchsorted(sorted_, sorted_ + beside, side="right")
+                for r in range(HUBS):
+                    hub = lo + r
+                    there = np.flatnonzero((hub < hi) & (hub != np.arange(len(o))))
+                    a, b = o[there], o[hub[there]]
+                    keep = cid[a] != cid[b]
+                    test(a[keep], b[keep])
+        else:
+            label = t.column("label").to_numpy()
+            o = np.lexsort((~visits, group))
+            edge = np.searchsorted(group[o], np.arange(group.max() + 2)) if len(o) else np.zeros(1, np.int64)
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                m = hi - lo
+                if m <= SMALL:
+                    a, b = (o[lo + x] for x in np.triu_indices(m, 1))
+                    keep = (label[a] != label[b]) & (cid[a] != cid[b])
+                    if keep.any():
+                        test(a[keep], b[keep])
+                    continue
+                own = o[lo:hi]
+                values, count = np.unique(label[own], return_counts=True)
+                few = own[label[own] != values[count.argmax()]]
+                for x in few:  # each against all others of the part, those of its label apart
+                    rest = own[label[own] != label[x]]
+                    test(np.full(len(rest), x), rest)
+        if not found_a:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-
-def _cross_likely(lists: DataFrame, labels: DataFrame, bits: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
-    """Pairs (a, b) of a list whose labels differ and that pass the bitmaps; members of a list's largest label don't meet each other.
-
-    Members travel in arrays of about ``chunk``, so a row is made for a member and an array, and for what passes.
-    """
-    p = lists.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    by = p.groupBy("list", "label").agg(F.count("*").alias("m")).groupBy("list").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
-    p = p.join(by.where("k > 1").select("list", "m", F.col("top.label").alias("top")), "list").join(bits, "cid")
-    few = p.where("label <> top").select("list", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bits").alias("x"))
-    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / chunk)).alias("part")
-    packs = p.groupBy("list", "top", part).agg(F.collect_list(F.struct(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("bits").alias("y"))).alias("pack"))
-    # two members of small labels meet in both orders; one of them is enough
-    fits = f"e.bl <> al and (e.bl = top or a < e.b) and 100 * least(an, e.bn) >= {percent} * greatest(an, e.bn) and {alike('x', 'e.y', 'an', 'e.bn', percent)}"
-    met = few.join(packs, "list").select("a", F.expr(f"transform(filter(pack, e -> {fits}), e -> e.b)").alias("bs")).where("size(bs) > 0")
-    # two sets may meet in many lists
-    return met.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_set("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
+    return run
 
 
 def _probed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose items may reach the threshold: each hub a meets its members in groups of about CHUNK."""
+    """Pairs (a, b) whose items reach the threshold: each hub a meets its members in tries of about CHUNK, many hubs in one group."""
+    buckets = max(1, -(-pairs.count() // (CHUNK // 2)))
     size = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK))).select("a", "b", "salt")
+    dealt = attach(pairs, size, ["a"], "m", buckets * CHUNK // 2).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK))).select("a", "b", "salt")
     members = dealt.join(rows.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.col("b").alias("cid"), "n", "items", F.lit(False).alias("own"))
     hubs = dealt.select("a", "salt").distinct().join(rows.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.col("a").alias("cid"), "n", "items", F.lit(True).alias("own"))
-    return members.union(hubs).groupBy("a", "salt").applyInPandas(_probe(percent), "a long, b long")
+    return members.union(hubs).groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).alias("g")).applyInArrow(_probe(percent), "a long, b long")
 
 
 def _whole_sets(work: Scratch, base: DataFrame, reps: DataFrame, pairs: DataFrame, crowded, k: int) -> DataFrame:
@@ -366,8 +465,10 @@ def _whole_sets(work: Scratch, base: DataFrame, reps: DataFrame, pairs: DataFram
 
     def whole(batches):
         for batch in batches:
-            got = [ordered_set(shingle_hashes(words, k), crowded.value) for _, words in _each_text(batch, "text")]
-            yield pa.record_batch({"cid": pa.array([_class_of(s) for s in got], pa.int64()), "n": pa.array([len(s) for s in got], pa.int64()), "items": pa.array([s.tobytes() for s in got], pa.binary())})
+            for *_, shingles, at in _each_slice(batch, k):
+                tokens = tokens_of(shingles, crowded.value)
+                got = [np.unique(tokens[a:b]) for a, b in zip(at[:-1], at[1:])]
+                yield pa.record_batch({"cid": pa.array([_class_of(s) for s in got], pa.int64()), "n": pa.array([len(s) for s in got], pa.int64()), "items": pa.array([s.tobytes() for s in got], pa.binary())})
 
     return texts.select("text").mapInArrow(lean(whole), "cid long, n long, items binary")
 

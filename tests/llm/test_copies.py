@@ -1,5 +1,6 @@
 """Exact dedup, n-gram join and substring dedup against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,11 +24,16 @@ def test_exact_dedup(docs):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
-def test_exact_dedup_slices_of_the_filter(docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 16)
+def test_exact_dedup_reads_texts_once_at_any_filter_size(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 16)
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2000)
+    monkeypatch.setattr(exact_dedup, "RUN", 10)
+    docs.write.parquet(str(tmp_path / "docs"))
+    out = exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "docs")))
     want, groups = brute.exact([(r[0], r[1]) for r in brute.rows()])
-    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()) == Counter(want)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out.collect()) == Counter(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "regexp_replace" not in plan
 
 
 def test_ngram_join(docs):
@@ -69,19 +75,42 @@ def test_trie_finds_what_brute_force_finds():
         assert want <= set(part.search(q[: ngram_join.prefix_length(len(q), 80)], len(q), 80))
 
 
-def test_bitmaps_lose_no_link(spark):
+def test_bitmaps_lose_no_link():
     r = np.random.default_rng(9)
-    rows = []
-    for i in range(300):
+    sets, pairs = [], []
+    for _ in range(300):
         n = int(r.integers(1, 300))
         a = np.unique(r.integers(0, 2**60, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[r.random(len(a)) > 0.1], r.integers(0, 2**60, int(r.integers(0, 1 + n // 8)), dtype=np.uint64)]))
         if len(b):
-            rows.append((i, len(a), len(b), [int(x) for x in ngram_join.bitmap(a)], [int(x) for x in ngram_join.bitmap(b)], brute.near(frozenset(a.tolist()), frozenset(b.tolist()))))
-    d = spark.createDataFrame(rows, "i int, n long, m long, x array<long>, y array<long>, near boolean")
-    d = d.where("100 * least(n, m) >= 80 * greatest(n, m)")
-    assert d.where("near").count() > 20
-    assert d.where("near").where(f"not ({ngram_join.alike('x', 'y', 'n', 'm', 80)})").count() == 0
+            pairs.append((len(sets), len(sets) + 1, brute.near(frozenset(a.tolist()), frozenset(b.tolist()))))
+            sets += [a, b]
+    a, b, near = (np.array(x) for x in zip(*pairs))
+    bits = ngram_join.Bitmaps([ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets]))
+    assert near.sum() > 20 and bits.alike(a, b, 80)[near].all() and bits.alike(b, a, 80)[near].all()
+    others = np.roll(b, 1)
+    assert bits.alike(a, others, 80).mean() < 0.1
+
+
+@pytest.mark.parametrize("part", [6])
+def test_parts_of_long_lists_lose_no_link(spark, monkeypatch, part):
+    """Many near copies and a passage of many texts, with lists cut into tiny parts, against brute force."""
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "BUCKET", 200)
+    rnd = random.Random(8)
+    base, shared = brute.soup(rnd, 60).split(), brute.soup(rnd, 14)
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, f"{shared} {' '.join(f'y{i}z{j}' for j in range(i % 5))}") for i in range(20)]
+    sets = [brute.shingles(t) for _, t in rows]
+    roots = brute.components(len(rows), lambda a, b: brute.near(sets[a], sets[b]))
+    least = {r: min(d for (d, _), x in zip(rows, roots) if x == r) for r in roots}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: least[r] for (d, _), r in zip(rows, roots)}
 
 
 def test_substring_dedup(docs):
