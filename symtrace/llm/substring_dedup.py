@@ -25,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.llm.common import SPACE_BYTES, Scratch, attach, components, lean, mix, shingle_hashes, slices, text_bytes, word_hashes
+from symtrace.llm.common import BROADCAST_KEYS, SPACE_BYTES, Scratch, _powers, attach, bounded, components, lean, mix, row_shingles, slices, text_bytes, word_hashes
 from symtrace.llm.ngram_join import all_links, bitmap
 
 BANDS, ROWS = 20, 4
@@ -37,7 +37,7 @@ SPAN = 50  #: words of the shortest span
 GRAM = 20  #: words of a seed
 
 _SEEDS, _ODD = np.random.default_rng(77).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+_PLACES = np.zeros(0, np.uint64)
 
 
 def _hashed(batch: pa.RecordBatch):
@@ -50,14 +50,17 @@ def _hashed(batch: pa.RecordBatch):
         yield lo, at, edges, words, rows
 
 
-def _lines(lo: int, at: np.ndarray, edges: np.ndarray, words: np.ndarray, rows: np.ndarray, min_words: int):
+def _lines(lo: int, at: np.ndarray, edges: np.ndarray, words: np.ndarray, rows: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Row, line, first and last byte, first and last word of every paragraph of a slice, in order."""
     owner = np.searchsorted(at, edges[:-1], side="right") - 1
-    first = np.searchsorted(edges, at)
     n = np.diff(rows)
     whole = np.flatnonzero(n >= min_words)
-    for a, b in [*zip(whole.tolist(), (whole + 1).tolist()), *_short_runs(n, owner, min_words)]:
-        i = int(owner[a])
-        yield lo + i, int(a - first[i]), int(edges[a] - at[i]), int(edges[b] - at[i]), words[rows[a] : rows[b]]
+    runs = np.array(_short_runs(n, owner, min_words), np.int64).reshape(-1, 2)
+    a, b = np.r_[whole, runs[:, 0]], np.r_[whole + 1, runs[:, 1]]
+    o = np.argsort(a, kind="stable")
+    a, b = a[o], b[o]
+    i = owner[a]
+    return lo + i, a - np.searchsorted(edges, at)[i], edges[a] - at[i], edges[b] - at[i], rows[a], rows[b]
 
 
 def _short_runs(n: np.ndarray, owner: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -80,25 +83,42 @@ def _short_runs(n: np.ndarray, owner: np.ndarray, min_words: int) -> list[tuple[
     return found
 
 
-def paragraphs(batch: pa.RecordBatch, min_words: int):
-    """(row, line, first byte, last byte, word hashes) of every paragraph."""
-    for part in _hashed(batch):
-        yield from _lines(*part, min_words)
+def _gathered(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of paragraphs one after another, and their n + 1 offsets."""
+    at = np.r_[0, np.cumsum(end - start)]
+    return words[np.arange(at[-1]) + np.repeat(start - at[:-1], end - start)], at
 
 
-def class_of(words: np.ndarray) -> int:
-    """64 bits for a sequence of words."""
-    n = len(words)
-    place = _PLACES[:n] if n <= len(_PLACES) else mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    return int(mix((words * place).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0])
+def classes_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits for the sequence of words of every paragraph, none of them empty."""
+    global _PLACES
+    n = np.diff(at)
+    if not len(n):
+        return np.zeros(0, np.int64)
+    if (top := int(n.max())) > len(_PLACES):
+        _PLACES = mix(np.arange(1, 2 * top, dtype=np.uint64)) | np.uint64(1)
+    place = np.arange(len(flat)) - np.repeat(at[:-1], n)
+    return mix(np.add.reduceat(flat * _PLACES[place], at[:-1]) + n.astype(np.uint64)).view(np.int64)
+
+
+def bands_of_rows(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash for each row and band. Each MinHash row draws the item whose product with an odd seed is least: unlike an exclusive or, that orders the items anew for every seed."""
+    if len(at) < 2:
+        return np.zeros((0, BANDS), np.uint64)
+    low = np.stack([np.minimum.reduceat(items * seed, at[:-1]) for seed in _SEEDS], 1)
+    return mix((low * _ODD).reshape(-1, BANDS, ROWS).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def bands_of(items: np.ndarray) -> np.ndarray:
-    """One hash for each band. Each row draws the item whose product with an odd seed is least: unlike an exclusive or, that orders the items anew for every seed."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(items), 1 << 14):  # so that a paragraph of any length fits
-        low = np.minimum(low, (items[i : i + (1 << 14), None] * _SEEDS).min(0))
-    return mix((low * _ODD).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
+    return bands_of_rows(items, np.array([0, len(items)]))[0]
+
+
+def distinct_counts(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many different items each row has."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    o = np.lexsort((items, row))
+    new = np.r_[True, (items[o][1:] != items[o][:-1]) | (row[o][1:] != row[o][:-1])][: len(o)]
+    return np.bincount(row[o][new], minlength=len(at) - 1)
 
 
 def _found(docs: DataFrame, min_words: int) -> DataFrame:
@@ -106,10 +126,10 @@ def _found(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [(i, line, a, b, len(w), class_of(w)) for i, line, a, b, w in paragraphs(batch, min_words)]
-            cols = list(zip(*got)) if got else [[]] * 6
-            pick = pa.array(cols[0], pa.int64())
-            yield pa.record_batch({"place": batch.column("place").take(pick), "doc_id": batch.column("doc_id").take(pick), "line": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int64()), "last": pa.array(cols[3], pa.int64()), "n_words": pa.array(cols[4], pa.int32()), "cid": pa.array(cols[5], pa.int64())})
+            for part in _hashed(batch):
+                row, line, first, last, start, end = _lines(*part, min_words)
+                pick = pa.array(row)
+                yield pa.record_batch({"place": batch.column("place").take(pick), "doc_id": batch.column("doc_id").take(pick), "line": pa.array(line.astype(np.int32)), "first": pa.array(first), "last": pa.array(last), "n_words": pa.array((end - start).astype(np.int32)), "cid": pa.array(classes_of(*_gathered(part[3], start, end)))})
 
     return rows.mapInArrow(lean(run), "place long, doc_id long, line int, first long, last long, n_words int, cid long")
 
@@ -146,14 +166,18 @@ def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int,
             seed, place, word = [], [], []
             places = batch.column("place").to_numpy()
             for part in _hashed(batch):
-                for _, _, _, _, w in _lines(*part, min_words):
-                    c = class_of(w)
-                    if c not in seen:
-                        seen.add(c)
-                        items = np.unique(shingle_hashes(w, k))
-                        token.append(bands_of(items))
-                        owner.append(c)
-                        size.append(len(items))
+                *_, start, end = _lines(*part, min_words)
+                flat, off = _gathered(part[3], start, end)
+                cid, one = np.unique(classes_of(flat, off), return_index=True)
+                one = one[[c not in seen for c in cid.tolist()]]  # a class once for a batch
+                if len(one):
+                    flat, off = _gathered(part[3], start[one], end[one])
+                    cid = classes_of(flat, off)
+                    seen.update(cid.tolist())
+                    items, off = row_shingles(flat, off, k)
+                    token.append(bands_of_rows(items, off).ravel())
+                    owner.append(np.repeat(cid, BANDS))
+                    size.append(np.repeat(distinct_counts(items, off).astype(np.int32), BANDS))
                 lo, at, edges, words, rows = part
                 starts = rows[np.searchsorted(edges, at)]
                 gram, spot = seeds_of(words, starts)
@@ -162,7 +186,7 @@ def _posted(docs: DataFrame, k: int, min_words: int, per_group: int, total: int,
                 place.append(places[lo + row])
                 word.append((spot - starts[row]).astype(np.int32))
             if owner:
-                yield _dealt(_range_of(np.concatenate(token), groups), token=np.concatenate(token), owner=np.repeat(np.array(owner, np.int64), BANDS), size=np.repeat(np.array(size, np.int32), BANDS))
+                yield _dealt(_range_of(np.concatenate(token), groups), token=np.concatenate(token), owner=np.concatenate(owner), size=np.concatenate(size))
             if sum(map(len, seed)):
                 seed, place, word = np.concatenate(seed), np.concatenate(place), np.concatenate(word)
                 o = np.argsort(seed, kind="stable")
@@ -204,11 +228,19 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def _windowed(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every ``width`` neighbours, by running sums: the same wherever they stand."""
+    powers, inverse = _powers(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * inverse[: len(words) - width + 1]) if len(words) >= width else np.zeros(0, np.uint64)
+
+
 def seeds_of(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place among the words) of every GRAM words that are the least of a window of SPAN words in one text: equal windows have equal seeds."""
     if len(words) < SPAN:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams, width = shingle_hashes(words, GRAM), SPAN - GRAM + 1
+    grams, width = _windowed(words, GRAM), SPAN - GRAM + 1
     least = _slide(grams, width, np.minimum)
     crossing = np.zeros(len(words) + 1, np.int64)  # windows that hold words of two texts
     edge = starts[1:-1]
@@ -239,7 +271,7 @@ def _windows(texts: DataFrame, groups: int) -> DataFrame:
                     w = hashes[rows[i] : rows[i + 1]]
                     if len(w) < SPAN:
                         continue
-                    grams = shingle_hashes(w, GRAM)
+                    grams = _windowed(w, GRAM)
                     least = _slide(grams, SPAN - GRAM + 1, np.minimum)
                     found = np.isin(least, grams[np.array(batch.column("words")[lo + i].as_py(), np.int64)])
                     inside = np.r_[False, ~SPACE_BYTES[data[at[i] : at[i + 1]]], False]
@@ -255,7 +287,7 @@ def _windows(texts: DataFrame, groups: int) -> DataFrame:
                     if not len(p):
                         continue
                     d = ids[lo + i].as_py()
-                    for name, x in zip(got, (least[p], shingle_hashes(w, SPAN)[p], np.full(len(p), d is None, np.uint8), np.full(len(p), d or 0, np.int64), np.full(len(p), places[lo + i], np.int64), p.astype(np.int32), first[p].astype(np.int32), last[p + SPAN - 1].astype(np.int32))):
+                    for name, x in zip(got, (least[p], _windowed(w, SPAN)[p], np.full(len(p), d is None, np.uint8), np.full(len(p), d or 0, np.int64), np.full(len(p), places[lo + i], np.int64), p.astype(np.int32), first[p].astype(np.int32), last[p + SPAN - 1].astype(np.int32))):
                         got[name].append(x)
             if got["seed"]:
                 flat = {name: np.concatenate(x) for name, x in got.items()}
@@ -272,7 +304,7 @@ def _summed(h, no_id, doc, place, pos, m, s0, s1) -> dict[str, np.ndarray]:
     return {"h": h[cut], "no_id": no_id[cut], "doc": doc[cut], "place": place[cut], "pos": pos[cut]} | {name: np.add.reduceat(x, cut) for name, x in (("m", m), ("s0", s0), ("s1", s1))}
 
 
-def _spans(work: Scratch, windows: DataFrame, per_group: int) -> DataFrame:
+def _spans(work: Scratch, windows: DataFrame, per_group: int, buckets: int) -> DataFrame:
     """Every occurrence of a maximal run of windows that occur together, twice or more: columns as of ``repeats``.
 
     Windows of a packed row are summed before they are dealt, and results go back to parts of a group, so a window of all texts gathers nowhere.
@@ -319,42 +351,52 @@ def _spans(work: Scratch, windows: DataFrame, per_group: int) -> DataFrame:
     theirs = stats.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     longs = ("place", "doc_id", "pos", "n", "first", "last", "cluster", "occurrences", "keep_id", "keep_place", "keep_pos", "head", "tail")
     found = ours.groupBy("g", "part").cogroup(theirs.groupBy("g", "part")).applyInArrow(runs, ", ".join(f"{x} long" for x in longs))
-    # runs that seeds have cut go together again
-    by = Window.partitionBy("place").orderBy("pos")
-    goes_on = (F.lag(F.col("pos") + F.col("n")).over(by) == F.col("pos")) & (F.lag("tail").over(by) == F.col("head"))
-    found = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    start = F.min_by(F.struct("doc_id", "first", "cluster", "occurrences", "keep_id", "keep_place", "keep_pos"), "pos").alias("x")
-    found = found.groupBy("place", "run").agg(start, F.min("pos").alias("pos"), F.sum("n").alias("n"), F.max("last").alias("last")).select("place", "x.*", "pos", "n", "last")
-    # a span that overlaps the one of its own text that stays begins where that one ends
-    stays = (F.col("place") == F.col("keep_place")) & (F.col("pos") == F.col("keep_pos"))
-    kept_last = F.max(F.when(stays, F.col("last"))).over(Window.partitionBy("place", "cluster"))
-    found = found.withColumn("removed", ~stays).withColumn("kept_last", kept_last)
-    over = F.when(F.col("removed") & (F.col("place") == F.col("keep_place")), F.greatest(F.lit(0), F.col("keep_pos") + F.col("n") - 1 + SPAN - F.col("pos"))).otherwise(0)
-    found = found.withColumn("over", over).withColumn("first", F.when(F.col("over") > 0, F.greatest("first", "kept_last")).otherwise(F.col("first")))
-    return found.select("place", "doc_id", F.lit(None).cast("int").alias("line"), "first", "last", (F.col("n") + SPAN - 1 - F.col("over")).cast("int").alias("n_words"), "cluster", "occurrences", F.col("keep_id").alias("keep_doc_id"), "removed")
-
-
-def _items(docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
+    own = ", ".join(("place long, doc_id long, line int", "first long, last long, n_words int, cluster long, occurrences long, keep_doc_id long, removed boolean"))
+    return found.withColumn("b", F.pmod(F.xxhash64("place"), F.lit(buckets))).groupBy("b").applyInArrow(_rejoined, own)
+
+
+def _rejoined(t: pa.Table) -> pa.Table:
+    """Runs that seeds have cut go together again; one that overlaps the occurrence of its own text that stays begins where that one ends."""
+    t = t.sort_by([("place", "ascending"), ("pos", "ascending")])
+    place, pos, n, first, last, cluster, m, kp, kw, head, tail = (t.column(c).to_numpy() for c in ("place", "pos", "n", "first", "last", "cluster", "occurrences", "keep_place", "keep_pos", "head", "tail"))
+    goes_on = np.r_[False, (place[1:] == place[:-1]) & (pos[1:] == pos[:-1] + n[:-1]) & (head[1:] == tail[:-1])][: len(pos)]
+    cut = np.flatnonzero(~goes_on)
+    n, last = np.add.reduceat(n, cut), np.maximum.reduceat(last, cut)
+    place, pos, first, cluster, m, kp, kw = (x[cut] for x in (place, pos, first, cluster, m, kp, kw))
+    stays = (place == kp) & (pos == kw)
+    over = np.where(~stays & (place == kp), np.maximum(0, kw + n - 1 + SPAN - pos), 0)
+    _, which = np.unique(np.stack([place, cluster]), axis=1, return_inverse=True)
+    kept_last = np.zeros(which.max() + 1, np.int64)
+    np.maximum.at(kept_last, which[stays], last[stays])
+    first = np.where(over > 0, np.maximum(first, kept_last[which]), first)
+    pick = pa.array(cut)
+    return pa.table({"place": place, "doc_id": t.column("doc_id").take(pick), "line": pa.nulls(len(cut), pa.int32()), "first": first, "last": last, "n_words": (n + SPAN - 1 - over).astype(np.int32), "cluster": cluster, "occurrences": m, "keep_doc_id": t.column("keep_id").take(pick), "removed": ~stays})
+
+
+def _items(work: Scratch, docs: DataFrame, wanted: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
     """(cid, n, items, bits): whole sets of the wanted classes, made again from one occurrence of each."""
     spots = found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("place", "line")).alias("at")).select(F.col("at.place").alias("place"), "cid")
-    texts = docs.select(F.col("_place").alias("place"), F.col("text").cast("string").alias("text")).join(spots.groupBy("place").agg(F.collect_list("cid").alias("cids")), "place")
+    spots = bounded(work.keep(spots.groupBy("place").agg(F.collect_list("cid").alias("cids")), "spots"))
+    texts = docs.select(F.col("_place").alias("place"), F.col("text").cast("string").alias("text")).join(spots, "place")
 
     def run(batches):
         for batch in batches:
             want = [set(x) for x in batch.column("cids").to_pylist()]
             cid, n, items, bits = [], [], [], []
-            for i, _, _, _, w in paragraphs(batch, min_words):
-                c = class_of(w)
-                if c in want[i]:
-                    want[i].discard(c)
-                    s = np.unique(shingle_hashes(w, k))
-                    cid.append(c)
-                    n.append(len(s))
-                    items.append(s.tobytes())
-                    bits.append(bitmap(s))
-            yield pa.record_batch({"cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "items": pa.array(items, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+            for part in _hashed(batch):
+                row, *_, start, end = _lines(*part, min_words)
+                own = classes_of(*_gathered(part[3], start, end)).tolist()
+                for i, c, a, b in zip(row.tolist(), own, start, end):
+                    if c in want[i]:
+                        want[i].discard(c)
+                        s = np.unique(row_shingles(part[3][a:b], np.array([0, b - a]), k)[0])
+                        cid.append(c)
+                        n.append(len(s))
+                        items.append(s.tobytes())
+                        bits.append(bitmap(s).tobytes())
+            yield pa.record_batch({"cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "items": pa.array(items, pa.binary()), "bits": pa.array(bits, pa.binary())})
 
-    return texts.select("text", "cids").mapInArrow(lean(run), "cid long, n long, items binary, bits array<long>")
+    return texts.select("text", "cids").mapInArrow(lean(run), "cid long, n long, items binary, bits binary")
 
 
 def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, per_group: int = 1_000_000) -> DataFrame:
@@ -374,7 +416,7 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
     lists = work.keep(posted.where("list is not null"), "lists")
     seeds = work.keep(posted.where("list is null").select(F.col("cid").alias("place"), "n"), "seeds")
     work.drop("posted")
-    sets = work.keep(_items(docs, lists.select("cid").distinct(), found, k, min_words), "sets")
+    sets = work.keep(_items(work, docs, lists.select("cid").distinct(), found, k, min_words), "sets")
     bits = sets.select("cid", "bits")
     wanted = lambda pairs: sets.drop("bits").join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
     roots = work.keep(components(work, all_links(work, lists, bits, wanted, percent), "components"), "roots")
@@ -389,10 +431,13 @@ def repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN
     words = seeds.groupBy("place").agg(F.collect_list("n").alias("words"), F.count("*").alias("n"))
     gone = out.where("removed").groupBy("place").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     marked = work.keep(words.join(gone, "place", "left"), "marked")
-    groups = max(1, -(-marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (SPAN - GRAM + 2) // 2 // (per_group // 4)))
-    texts = docs.select(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.drop("n"), "place")
+    n_seeds, n_gone = marked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.coalesce("gone", F.array()))), F.lit(0))).first()
+    groups = max(1, -(-n_seeds * (SPAN - GRAM + 2) // 2 // (per_group // 4)))
+    # few marks, by count, go to the texts; more meet them by a shuffle
+    marked = F.broadcast(marked.drop("n")) if n_seeds + 2 * n_gone <= BROADCAST_KEYS else marked.drop("n")
+    texts = docs.select(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "place")
     windows = work.keep(_windows(texts, groups), "windows")
-    spans = work.keep(_spans(work, windows, per_group), "spans")
+    spans = work.keep(_spans(work, windows, per_group, max(1, n_seeds // 2000)), "spans")
     work.drop("seeds", "marked", "windows", "window-sums", "window-parts")
     return out.unionByName(spans)
 
