@@ -238,10 +238,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def to_sets(batches):
         for batch in batches:
             for lo, hi, shingles, at in _each_slice(batch, k):
-                tokens = tokens_of(shingles, crowded.value)
-                got = [np.unique(tokens[a:b]) for a, b in zip(at[:-1], at[1:])]
-                n = np.array([len(x) for x in got], np.int64)
-                cid = np.array([_class_of(x) if len(x) else 0 for x in got], np.int64)
+                items, at = _ordered(tokens_of(shingles, crowded.value), at)
+                got = [items[a:b] for a, b in zip(at[:-1], at[1:])]
+                n = np.diff(at)
+                cid = np.where(n > 0, _classes(items, at), 0)
                 prefix = [x[: prefix_length(len(x), percent)].tobytes() if len(x) else None for x in got]
                 bits = [bitmap(x).tobytes() if len(x) else None for x in got]
                 own = batch.slice(lo, hi - lo)
@@ -290,10 +290,24 @@ def all_links(work: Scratch, lists: DataFrame, bits: DataFrame, whole, percent:
     return links
 
 
-def _class_of(s: np.ndarray) -> int:
-    """64 bits for a set, from two sums over its items."""
-    a, b = (mix(s ^ x).sum(dtype=np.uint64, keepdims=True) for x in (np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return int(mix(a * np.uint64(3) + (b << np.uint64(1)) + np.uint64(len(s))).view(np.int64)[0])
+def _ordered(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' distinct tokens in order, one row after another, and their offsets."""
+    for a, b in zip(at[:-1], at[1:]):
+        tokens[a:b].sort()
+    new = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+    new[at[:-1][at[1:] > at[:-1]]] = True
+    return tokens[new], np.r_[0, np.cumsum(new)][at]
+
+
+def _classes(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits for each row's set, from two sums over its items."""
+
+    def total(seed: int) -> np.ndarray:
+        sums = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(mix(items ^ np.uint64(seed)), out=sums[1:])
+        return sums[at[1:]] - sums[at[:-1]]
+
+    return mix(total(0) * np.uint64(3) + (total(0xA5A5A5A5A5A5A5A5) << np.uint64(1)) + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
 def _posting_lists(work: Scratch, filled: DataFrame, crowded, items: int, per_group: int = 1_000_000) -> DataFrame:
@@ -379,6 +393,7 @@ def _meetings(members: DataFrame, long_: DataFrame, bits: DataFrame, buckets: in
 
 SIZE_STEP = 1.25  #: of the classes of sizes; sets that can link are in the same class or in neighbours
 SMALL = 48  #: members of a list whose pairs are made at once
+HELD = 1 << 18  #: pairs that are tested at once, about
 
 
 def _meet(percent: int, every: bool):
@@ -425,20 +440,37 @@ def _meet(percent: int, every: bool):
             label = t.column("label").to_numpy()
             o = np.lexsort((~visits, group))
             edge = np.searchsorted(group[o], np.arange(group.max() + 2)) if len(o) else np.zeros(1, np.int64)
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                m = hi - lo
-                if m <= SMALL:
-                    a, b = (o[lo + x] for x in np.triu_indices(m, 1))
-                    keep = (label[a] != label[b]) & (cid[a] != cid[b])
-                    if keep.any():
-                        test(a[keep], b[keep])
-                    continue
-                own = o[lo:hi]
+            size = np.diff(edge)
+            left, right, held = [], [], 0
+
+            def flush():
+                if left:
+                    test(np.concatenate(left), np.concatenate(right))
+                left.clear(), right.clear()
+
+            def hold(a, b):  # a member's pairs are never held apart, as its closest is chosen among them
+                nonlocal held
+                keep = (label[a] != label[b]) & (cid[a] != cid[b])
+                left.append(a[keep])
+                right.append(b[keep])
+                held += len(left[-1])
+                if held >= HELD:
+                    flush()
+                    held = 0
+
+            for m in np.unique(size[(size > 1) & (size <= SMALL)]):  # all lists of a length at once
+                x, y = np.triu_indices(m, 1)
+                starts = edge[:-1][size == m]
+                for i in range(0, len(starts), HELD // len(x) + 1):
+                    at = starts[i : i + HELD // len(x) + 1, None]
+                    hold(o[(at + x).ravel()], o[(at + y).ravel()])
+            for g in np.flatnonzero(size > SMALL):
+                own = o[edge[g] : edge[g + 1]]
                 values, count = np.unique(label[own], return_counts=True)
                 few = own[label[own] != values[count.argmax()]]
                 for x in few:  # each against all others of the part, those of its label apart
-                    rest = own[label[own] != label[x]]
-                    test(np.full(len(rest), x), rest)
+                    hold(np.full(len(own), x), own)
+            flush()
         if not found_a:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
@@ -466,9 +498,8 @@ def _whole_sets(work: Scratch, base: DataFrame, reps: DataFrame, pairs: DataFram
     def whole(batches):
         for batch in batches:
             for *_, shingles, at in _each_slice(batch, k):
-                tokens = tokens_of(shingles, crowded.value)
-                got = [np.unique(tokens[a:b]) for a, b in zip(at[:-1], at[1:])]
-                yield pa.record_batch({"cid": pa.array([_class_of(s) for s in got], pa.int64()), "n": pa.array([len(s) for s in got], pa.int64()), "items": pa.array([s.tobytes() for s in got], pa.binary())})
+                items, at = _ordered(tokens_of(shingles, crowded.value), at)
+                yield pa.record_batch({"cid": pa.array(_classes(items, at)), "n": pa.array(np.diff(at)), "items": pa.array([items[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
     return texts.select("text").mapInArrow(lean(whole), "cid long, n long, items binary")
 
