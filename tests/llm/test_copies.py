@@ -136,3 +136,15 @@ def test_removing_repeats(docs):
     first = next(i for i, x in enumerate(t) if x and x.endswith("\nend"))
     assert kept[first] == "\n".join([t[first].split("\n")[0], "end"])
     assert kept[t.index("one")] == "one" and kept[t.index(None)] is None
+
+
+def test_sets_of_slices():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        at = np.r_[0, np.cumsum(rng.integers(0, 6, rng.integers(1, 9)))]
+        tokens = rng.integers(0, 4, at[-1]).astype(np.uint64)
+        want = [sorted(set(tokens[a:b].tolist())) for a, b in zip(at[:-1], at[1:])]
+        items, ends = ngram_join._ordered(tokens.copy(), at)
+        assert [items[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+        classes = ngram_join._classes(items, ends)
+        assert all((c == d) == (x == y) for c, x in zip(classes, want) for d, y in zip(classes, want))
