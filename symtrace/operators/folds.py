@@ -1,6 +1,7 @@
 """Walks in numpy: constants of an alphabet's size, points of a text, and the symbols that lead to a point.
 
-Memory is a few numbers for each symbol of one text. Inversion goes over arrays of spans, all of them at once.
+Texts are taken in slices of about ``SLICE`` bytes, a text at least, and all texts of a slice are walked at once, so memory is
+a few numbers for each symbol of a slice. Inversion goes over arrays of spans, all of them at once.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from symtrace.functions.symbols import HISTORY_BITS, grid_side, history, kissing_ratio, walk_span
 
-BLOCK = 1 << 16  #: points that are folded, or symbols that are handed on, at once
+BLOCK = 1 << 16  #: points or symbols that are handed on at once
+SLICE = 1 << 20  #: bytes of text that are worked on at once
+STRETCH = 512  #: symbols of a text that are walked one after another; stretches are walked side by side
 
 
 class Walk(NamedTuple):
@@ -67,35 +71,118 @@ def as_text(points: np.ndarray) -> str:
     return np.ascontiguousarray(points, np.uint32).tobytes().decode("utf-32-le")
 
 
-def _folded(values: np.ndarray, start: float, ratio: float, grid_: bool) -> np.ndarray:
-    """One coordinate after each symbol; a step needs the one before, so this loop is over plain numbers, of which it makes four operations each."""
-    out, p = [], start
-    if grid_:
-        k = float(round(1 / ratio))
-        for v in values.tolist():
-            p = (p + v) / k
-            out.append(p)
+def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(points, at): the code points of all rows one after another, and where each row starts and the last ends; null counts as empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    points = code_points(raw.tobytes().decode())
+    at = at - at[0]
+    return points, at if len(points) == len(raw) else np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][at]
+
+
+def texts(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, points, at): runs of rows of about ``most`` bytes of text, one row at least, with their code points as ``decoded`` gives them."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (most or SLICE), side="right")))
+        rows = batch.slice(lo, hi - lo)
+        yield rows, *decoded(rows.column(column))
+        lo = hi
+
+
+def strings(points: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The inverse of ``decoded``."""
+    size = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+    offsets = np.r_[0, np.cumsum(size)][at].astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(as_text(points).encode()))
+
+
+def of_row(at: np.ndarray) -> np.ndarray:
+    """The row of each of the values that lie one after another."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def alphabets(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first, ids): the sorted distinct code points of each text, where each text's start and the last ends, and each symbol's rank among its text's."""
+    n, row = len(at) - 1, of_row(at)
+    if not len(points):
+        return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+    used = np.flatnonzero(np.bincount(points))
+    if n * len(used) <= 16 * SLICE:
+        place = np.zeros(used[-1] + 1, np.int64)
+        place[used] = np.arange(len(used))
+        key = row * len(used) + place[points]
+        seen = np.zeros((n, len(used)), bool)
+        seen.ravel()[key] = True
+        rank = np.cumsum(seen, axis=1, dtype=np.int32)
+        symbols, sizes, ids = used[np.nonzero(seen)[1]].astype(np.uint32), rank[:, -1], rank.ravel()[key].astype(np.int64) - 1
     else:
-        for v in values.tolist():
-            p = v + ratio * (p - v)
-            out.append(p)
-    return np.array(out)
+        known, ids = np.unique(row << 21 | points, return_inverse=True)
+        sizes = np.bincount(known >> 21, minlength=n)
+        symbols, ids = (known & 0x1FFFFF).astype(np.uint32), ids - (np.cumsum(sizes) - sizes)[row]
+    return symbols, np.r_[0, np.cumsum(sizes, dtype=np.int64)], ids
+
+
+def _stretched(vx: np.ndarray, vy: np.ndarray, ratio, grid_: bool, s: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, out: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Walks stretches of symbols, longest first, from where each starts; the points go to ``out`` unless it is None."""
+    x, y = x.copy(), y.copy()
+    many = isinstance(ratio, np.ndarray)
+    k = np.rint(1 / ratio) if grid_ else None
+    width = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # how many are longer than each step's number
+    for j, m in enumerate(width.tolist()):
+        at = s[:m] + j
+        u, v = vx[at], vy[at]
+        if grid_:
+            k_ = k[:m] if many else k
+            x[:m], y[:m] = (x[:m] + u) / k_, (y[:m] + v) / k_
+        else:
+            r = ratio[:m] if many else ratio
+            x[:m], y[:m] = u + r * (x[:m] - u), v + r * (y[:m] - v)
+        if out is not None:
+            out[0][at], out[1][at] = x[:m], y[:m]
+    return x, y
+
 
+def walked(at: np.ndarray, vx: np.ndarray, vy: np.ndarray, ratio, back: int, start: float = 0.0, grid_: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The points after each symbol of every text, bit for bit as if step by step; (vx, vy) is each symbol's vertex, ``ratio`` one for all or for each text.
 
-def blocks(walk: Walk, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first symbol, x, y): the points after each symbol of a text, ``BLOCK`` at a time."""
-    x, y = walk.start, walk.start
-    for a in range(0, len(ids), BLOCK):
-        part = ids[a : a + BLOCK]
-        px, py = _folded(walk.vx[part], x, walk.ratio, walk.grid), _folded(walk.vy[part], y, walk.ratio, walk.grid)
-        yield a, px, py
-        x, y = float(px[-1]), float(py[-1])
+    Texts are cut into stretches that are walked side by side. Each but a text's first starts after ``back`` symbols before it, by
+    which a walk has forgotten where it came from; where it has not, to the last bit, the stretch is walked again from the true point.
+    """
+    k = -(-np.diff(at) // STRETCH)
+    text = np.repeat(np.arange(len(k)), k)
+    no = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
+    s = at[text] + no * STRETCH
+    size = np.minimum(STRETCH, at[text + 1] - s)
+    o = np.argsort(-size, kind="stable")
+    s, size, no, r = s[o], size[o], no[o], ratio[text[o]] if isinstance(ratio, np.ndarray) else ratio
+    of = lambda i: r[i] if isinstance(r, np.ndarray) else r
+    fx, fy = np.full(len(s), start), np.full(len(s), start)
+    later, back = np.flatnonzero(no > 0), min(back, STRETCH)
+    fx[later], fy[later] = _stretched(vx, vy, of(later), grid_, s[later] - back, np.full(len(later), back), fx[later], fy[later], None)
+    out = np.empty(len(vx)), np.empty(len(vx))
+    todo = np.arange(len(s))
+    while len(todo):
+        _stretched(vx, vy, of(todo), grid_, s[todo], size[todo], fx[todo], fy[todo], out)
+        tx, ty = out[0][s[later] - 1], out[1][s[later] - 1]
+        wrong = (fx[later] != tx) | (fy[later] != ty)
+        todo = later[wrong]
+        fx[todo], fy[todo] = tx[wrong], ty[wrong]
+    return out
+
+
+def walk_texts(walk: Walk, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points after each symbol of texts that share a walk."""
+    return walked(at, walk.vx[ids], walk.vy[ids], walk.ratio, walk.back, walk.start, walk.grid)
 
 
 def points(walk: Walk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The points after each symbol of a text."""
-    got = [(x, y) for _, x, y in blocks(walk, ids)]
-    return (np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])) if got else (np.zeros(0), np.zeros(0))
+    return walk_texts(walk, ids, np.array([0, len(ids)]))
 
 
 def nearest_vertex(walk: Walk, x: np.ndarray, y: np.ndarray) -> np.ndarray:

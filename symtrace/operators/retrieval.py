@@ -2,16 +2,21 @@
 
 Points of a corpus share one alphabet. A radius join is an equi-join on grid cells of side 2 tau, each
 query looking into its 3 x 3 cells, then the exact distance; no pair is made outside those cells.
+Where only counts, medians or the nearest are asked for, texts are walked and searched a slice at a time in
+their task (``occurrence_counts``, ``radius_counts``, ``precision_counts``, ``nearest_in_texts``, ``decay``): no point leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from symtrace.operators import folds
 
@@ -23,11 +28,10 @@ def corpus_alphabet(df: DataFrame, text: str = "text") -> list[str]:
     """Sorted distinct symbols of all texts; at most one entry for each code point comes to the driver."""
 
     def run(batches):
-        seen = np.zeros(0, np.uint32)
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if t:
-                    seen = np.union1d(seen, folds.code_points(t))
+            for _, points, _ in folds.texts(batch):
+                seen = np.union1d(seen, np.flatnonzero(np.bincount(points)))
         yield pa.record_batch({"sym": pa.array(list(folds.as_text(seen)), pa.string())})
 
     return sorted(r.sym for r in df.select(F.col(text).alias("text")).mapInArrow(run, "sym string").distinct().collect())
@@ -39,8 +43,18 @@ def _walk(n: int, kind: str) -> folds.Walk:
 
 def _ids(points: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Ranks in the alphabet; -1 outside it."""
-    at = np.minimum(np.searchsorted(known, points), len(known) - 1)
-    return np.where(known[at] == points, at, -1)
+    top = max(int(points.max(initial=0)), int(known.max(initial=0)))
+    rank = np.full(top + 1, -1, np.int64)
+    rank[known] = np.arange(len(known))
+    return rank[points]
+
+
+def _known(points: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Ranks in the alphabet; a symbol outside it raises."""
+    ids = _ids(points, known)
+    if (ids < 0).any():
+        raise ValueError(f"symbol outside the alphabet: {chr(points[int((ids < 0).argmax())])}")
+    return ids
 
 
 def walk_index(df: DataFrame, alphabet: list[str], kind: str = "ring", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,19 +63,22 @@ def walk_index(df: DataFrame, alphabet: list[str], kind: str = "ring", key: str
 
     def run(batches):
         for batch in batches:
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                if not t:
-                    continue
-                ids = _ids(folds.code_points(t), known)
-                if (ids < 0).any():
-                    raise ValueError(f"symbol outside the alphabet: {t[int((ids < 0).argmax())]}")
-                for a, x, y in folds.blocks(w, ids):
-                    yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(len(x), i))), "pos": pa.array(np.arange(a + 1, a + 1 + len(x), dtype=np.int32)), "x": pa.array(x), "y": pa.array(y)})
+            for rows, points, at in folds.texts(batch):
+                x, y = folds.walk_texts(w, _known(points, known), at)
+                row, pos = folds.of_row(at), _positions(at)
+                for a in range(0, len(x), folds.BLOCK):
+                    part = slice(a, a + folds.BLOCK)
+                    yield pa.record_batch({key: rows.column("_key").take(pa.array(row[part])), "pos": pa.array(pos[part]), "x": pa.array(x[part]), "y": pa.array(y[part])})
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
     return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _positions(at: np.ndarray) -> np.ndarray:
+    """1, 2, .. within each text."""
+    return (np.arange(1, at[-1] + 1) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)
+
+
 def query_points(queries: DataFrame, alphabet: list[str], kind: str = "ring") -> DataFrame:
     """Adds q, qx, qy and tau to (query_id, query); queries without symbols or with some outside the alphabet go."""
     known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
@@ -104,16 +121,114 @@ def radius_join(points: DataFrame, queries: DataFrame, key: str = "doc_id") -> D
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TABLE = 18  #: bits of the tables that tell at once that a hash is of no query
+_SHIFT = np.uint64(64 - _TABLE)
+PAIRS = 1 << 20  #: pairs of a symbol or point and a query that are compared at once
+
+
+def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Rolling hashes, one symbol longer."""
+    h = (h + points.astype(np.uint64) + np.uint64(1)) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+class _Keys:
+    """Queries by 64-bit keys, of which one query may have several: which of many keys are a query's."""
+
+    def __init__(self, keys: np.ndarray, query: np.ndarray):
+        pairs = np.unique(np.stack([keys.view(np.int64), query.astype(np.int64)], 1), axis=0)
+        self.query = pairs[:, 1]
+        self.keys, first = np.unique(pairs[:, 0], return_index=True)
+        self.first = np.r_[first, len(pairs)]
+        self.open = np.zeros(1 << _TABLE, bool)
+        self.open[self._place(self.keys.view(np.uint64))] = True
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys * _ODD) >> _SHIFT
+
+    def pairs(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(which key, query), about ``PAIRS`` at a time."""
+        i = np.flatnonzero(self.open[self._place(keys)])
+        k = np.minimum(np.searchsorted(self.keys, keys[i].view(np.int64)), len(self.keys) - 1)
+        hit = self.keys[k] == keys[i].view(np.int64)
+        i, k = i[hit], k[hit]
+        n = self.first[k + 1] - self.first[k]
+        ends, lo = np.cumsum(n), 0
+        while lo < len(i):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            m = n[lo:hi]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(i[lo:hi], m), self.query[np.repeat(self.first[k[lo:hi]], m) + within]
+            lo = hi
+
+
+class _Substrings:
+    """Texts of queries, found in texts that lie one after another: by hashes of the shortest query's length, then of each length, then symbol by symbol."""
+
+    def __init__(self, queries: list[str]):
+        points = [folds.code_points(t) for t in queries]
+        size = np.array([len(p) for p in points])
+        self.least = int(size.min(initial=1 << 30))
+        self.lengths = []
+        for q in np.unique(size).tolist():
+            own = np.flatnonzero(size == q)
+            spelt = np.stack([points[i] for i in own])
+            h = np.zeros(len(own), np.uint64)
+            for j in range(q):
+                h = _longer(h, spelt[:, j])
+            self.lengths.append((q, _Keys(h, np.arange(len(own))), own, spelt))
+        h = np.zeros(len(points), np.uint64)
+        for j in range(self.least if points else 0):
+            h = _longer(h, np.array([p[j] for p in points]))
+        self.starts = _Keys(h, np.arange(len(points))) if points else None
+
+    def find(self, points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(start, query, length of the query), at most about ``PAIRS`` at a time; none reaches from one text into the next."""
+        n = len(points) - self.least + 1
+        if n <= 0 or self.starts is None:
+            return
+        h = np.zeros(n, np.uint64)
+        for j in range(self.least):
+            h = _longer(h, points[j : j + n])
+        a = np.flatnonzero(self.starts.open[self.starts._place(h)])
+        h, size = h[a], self.least
+        room = at[np.searchsorted(at, a, side="right")] - a
+        for q, known, own, spelt in self.lengths:
+            on = room >= q
+            a, h, room = a[on], h[on], room[on]
+            for j in range(size, q):
+                h = _longer(h, points[a + j])
+            size = q
+            for i, query in known.pairs(h):
+                same = np.ones(len(i), bool)
+                for j in range(q):
+                    same &= points[a[i] + j] == spelt[query, j]
+                yield a[i[same]], own[query[same]], q
+
+
+def _wanted(queries: DataFrame) -> Iterator[list[tuple]]:
+    """(query_id, query) of queries with symbols, ``FEW`` at a time, once at least; a query set is stated by its caller."""
+    wanted = [(r.query_id, r.query) for r in queries.select("query_id", "query").where("length(query) > 0").toLocalIterator()]
+    for a in range(0, max(1, len(wanted)), FEW):
+        yield wanted[a : a + FEW]
+
+
+def _in_blocks(blocks, search) -> DataFrame:
+    """What one search for each block of queries finds."""
+    out = None
+    for block in blocks:
+        one = search(block)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def _grams(points: np.ndarray, q: int) -> np.ndarray:
-    """Rolling hash of every q neighbours."""
-    n = len(points) - q + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in range(q if n > 0 else 0):
-        h = (h + points[i : i + n].astype(np.uint64) + np.uint64(1)) * _ODD
-        h ^= h >> np.uint64(29)
-    return h
+def _id_type(queries: DataFrame):
+    return pa.int64() if isinstance(queries.schema["query_id"].dataType, T.LongType) else None
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
 
 
 def occurrences(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,38 +237,195 @@ def occurrences(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     A text slides past the queries' hashes within its row, one length of query after the other, and hits are compared
     symbol by symbol. The queries go to all tasks, ``FEW`` at a time; each block of them is one pass.
     """
-    wanted = [(r.query_id, r.query) for r in queries.select("query_id", "query").where("length(query) > 0").toLocalIterator()]  # a query set is stated by its caller
     schema = T.StructType([queries.schema["query_id"], T.StructField("q", T.IntegerType()), T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType())])
-    kind = pa.int64() if isinstance(queries.schema["query_id"].dataType, T.LongType) else None
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    kind = _id_type(queries)
 
     def search(block):
-        by: dict[int, dict[str, list]] = {}
-        for i, t in block:
-            by.setdefault(len(t), {}).setdefault(t, []).append(i)
-        marks = {q: np.unique([_grams(folds.code_points(t), q)[0] for t in known]) for q, known in by.items()}
+        ids, known = pa.array([i for i, _ in block], kind), _Substrings([t for _, t in block])
 
         def run(batches):
             for batch in batches:
-                found, q_, row, pos = [], [], [], []
-                for i, t in enumerate(batch.column("text").to_pylist()):
-                    points = folds.code_points(t or "")
-                    for q, known in by.items():
-                        for a in np.flatnonzero(np.isin(_grams(points, q), marks[q])):
-                            for query_id in known.get(t[a : a + q], ()):
-                                found.append(query_id)
-                                q_.append(q)
-                                row.append(i)
-                                pos.append(int(a) + q)
-                yield pa.record_batch([pa.array(found, kind), pa.array(q_, pa.int32()), batch.column("_key").take(pa.array(row, pa.int64())), pa.array(pos, pa.int32())], names=schema.names)
-
-        return rows.mapInArrow(run, schema)
+                for rows, points, at in folds.texts(batch):
+                    for a, query, q in known.find(points, at):
+                        row = np.searchsorted(at, a, side="right") - 1
+                        yield pa.record_batch([ids.take(pa.array(query)), pa.array(np.full(len(a), q, np.int32)), rows.column("_key").take(pa.array(row)), pa.array((a - at[row] + q).astype(np.int32))], names=schema.names)
 
-    out = None
-    for a in range(0, max(1, len(wanted)), FEW):
-        one = search(wanted[a : a + FEW])
-        out = one if out is None else out.unionByName(one)
-    return out
+        return _rows(df, key, text).mapInArrow(run, schema)
+
+    return _in_blocks(_wanted(queries), search)
+
+
+class _Tally:
+    """How often each whole number came, as sorted distinct ones; merged as they double, so memory follows their number."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 1 << 20
+
+    def add(self, values: np.ndarray) -> None:
+        u, n = np.unique(values, return_counts=True)
+        self.parts.append((u, n))
+        self.size += len(u)
+        if self.size > self.limit:
+            self.limit = max(self.limit, 2 * len(self.all()[0]))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            values = np.concatenate([u for u, _ in self.parts]) if self.parts else np.zeros(0, np.int64)
+            counts = np.concatenate([n for _, n in self.parts]) if self.parts else np.zeros(0, np.int64)
+            u, place = np.unique(values, return_inverse=True)
+            total = np.zeros(len(u), np.int64)
+            np.add.at(total, place, counts)
+            self.parts, self.size = [(u, total)], len(u)
+        return self.parts[0]
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        got = self.all()
+        self.parts, self.size, self.limit = [], 0, 1 << 20
+        return got
+
+
+def _pair_counts(df: DataFrame, queries: DataFrame, name: str, blocks, searcher, key: str, text: str) -> DataFrame:
+    """(query_id, key, ``name``): how often ``searcher(block)`` yields (place, query) in each text, places counting on through a slice's texts."""
+    schema = T.StructType([queries.schema["query_id"], T.StructField(key, df.schema[key].dataType), T.StructField(name, T.LongType())])
+    kind = _id_type(queries)
+
+    def search(block):
+        ids, find, many = pa.array([r[0] for r in block], kind), searcher(block), max(1, len(block))
+
+        def run(batches):
+            for batch in batches:
+                for rows, points, at in folds.texts(batch):
+                    tally = _Tally()
+                    for a, query in find(points, at):
+                        tally.add((np.searchsorted(at, a, side="right") - 1) * many + query)
+                    pair, n = tally.all()
+                    for b in range(0, len(pair), folds.BLOCK):
+                        part = slice(b, b + folds.BLOCK)
+                        yield pa.record_batch([ids.take(pa.array(pair[part] % many)), rows.column("_key").take(pa.array(pair[part] // many)), pa.array(n[part])], names=schema.names)
+
+        return _rows(df, key, text).mapInArrow(run, schema)
+
+    return _in_blocks(blocks, search)
+
+
+def occurrence_counts(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, n_true): in how many places of each text a query occurs, where it does; ``occurrences`` counted where they are made."""
+
+    def searcher(block):
+        known = _Substrings([t for _, t in block])
+        return lambda points, at: ((a, query) for a, query, _ in known.find(points, at))
+
+    return _pair_counts(df, queries, "n_true", _wanted(queries), searcher, key, text)
+
+
+class _Disc:
+    """Query points by cells of side 2 tau, one set of cells for each tau: which points lie within tau."""
+
+    def __init__(self, qx, qy, tau):
+        self.qx, self.qy, self.tau = (np.array(v, float) for v in (qx, qy, tau))
+        self.cells = []
+        for tau in np.unique(self.tau):
+            own = np.flatnonzero(self.tau == tau)
+            keys = [self._cell(self.qx[own], self.qy[own], tau, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            self.cells.append((float(tau), _Keys(np.concatenate(keys), np.tile(own, 9))))
+
+    @staticmethod
+    def _cell(x, y, tau, i=0, j=0):
+        cx, cy = (np.floor(v / (2 * tau)).astype(np.int64).view(np.uint64) for v in (x, y))
+        return (cx + np.uint64(i % (1 << 64))) * _ODD + (cy + np.uint64(j % (1 << 64)))
+
+    def within(self, x, y, query) -> np.ndarray:
+        dx, dy = x - self.qx[query], y - self.qy[query]
+        return dx * dx + dy * dy <= self.tau[query] * self.tau[query]
+
+    def find(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(which point, query) of all that lie within tau, at most about ``PAIRS`` at a time."""
+        for tau, known in self.cells:
+            for i, query in known.pairs(self._cell(x, y, tau)):
+                near = self.within(x[i], y[i], query)
+                yield i[near], query[near]
+
+
+def _placed(queries: DataFrame, most: int = FEW) -> Iterator[list[tuple]]:
+    """(query_id, query, qx, qy, tau) of ``query_points``, ``most`` at a time, once at least."""
+    placed = [(r.query_id, r.query, r.qx, r.qy, r.tau) for r in queries.select("query_id", "query", "qx", "qy", "tau").toLocalIterator()]
+    for a in range(0, max(1, len(placed)), most):
+        yield placed[a : a + most]
+
+
+def radius_counts(df: DataFrame, queries: DataFrame, alphabet: list[str], kind: str = "ring", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, n_found): how many points of each text's walk lie within a query's tau, where some do; ``radius_join`` counted where it is made."""
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
+
+    def searcher(block):
+        disc = _Disc(*([r[c] for r in block] for c in (2, 3, 4)))
+        return lambda points, at: disc.find(*folds.walk_texts(w, _known(points, known), at))
+
+    return _pair_counts(df, queries, "n_found", _placed(queries), searcher, key, text)
+
+
+def _rounded(v: np.ndarray, precision: str) -> np.ndarray:
+    return v if precision == "f64" else v.astype({"f32": np.float32, "f16": np.float16}[precision]).astype(float)
+
+
+MANY = 1 << 22  #: distinct stored points of a task that wait for their queries
+
+
+def precision_counts(df: DataFrame, queries: DataFrame, alphabet: list[str], kind: str = "ring", precision: str = "f64", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, q, n_found, n_true, n_both, precision, recall) of points kept at a precision, one row a query; nothing found has precision 0.
+
+    As ``precision_recall`` of ``radius_join`` and ``occurrences``, but points and true places are made, met and counted in the
+    text's task. At 16 bits many points are equal, so distinct ones and their numbers meet the queries; a task keeps ``MANY`` of
+    them at most before they do.
+    """
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
+    placed = query_points(queries.select("query_id", "query").where("length(query) > 0"), alphabet, kind)
+    placed = placed if precision == "f64" else widened(placed, precision)
+    schema = T.StructType([queries.schema["query_id"], *(T.StructField(c, T.LongType()) for c in ("n_found", "n_true", "n_both"))])
+    id_type = _id_type(queries)
+
+    def search(block):
+        ids, disc, spelt = pa.array([r[0] for r in block], id_type), _Disc(*([r[c] for r in block] for c in (2, 3, 4))), _Substrings([r[1] for r in block])
+        many = len(block)
+
+        def run(batches):
+            found, true, both = (np.zeros(many, np.int64) for _ in range(3))
+            waiting = _Tally()
+
+            def meet():
+                at, n = waiting.take()
+                x, y = ((at >> s & 0xFFFF).astype(np.uint16).view(np.float16).astype(float) for s in (16, 0))
+                for i, query in disc.find(x, y):
+                    np.add.at(found, query, n[i])
+
+            for batch in batches:
+                for _, points, at in folds.texts(batch):
+                    x, y = folds.walk_texts(w, _known(points, known), at)
+                    x, y = _rounded(x, precision), _rounded(y, precision)
+                    if precision == "f16":
+                        waiting.add(x.astype(np.float16).view(np.uint16).astype(np.int64) << 16 | y.astype(np.float16).view(np.uint16))
+                        if waiting.size > MANY:
+                            meet()
+                    else:
+                        for _, query in disc.find(x, y):
+                            found += np.bincount(query, minlength=many)
+                    for a, query, q in spelt.find(points, at):
+                        true += np.bincount(query, minlength=many)
+                        both += np.bincount(query[disc.within(x[a + q - 1], y[a + q - 1], query)], minlength=many)
+            meet()
+            yield pa.record_batch([ids, pa.array(found), pa.array(true), pa.array(both)], names=schema.names)
+
+        return df.select(F.col(text).alias("text")).mapInArrow(run, schema)
+
+    c = _in_blocks(_placed(placed), search).groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("n_found", "n_true", "n_both")))
+    return _with_shares(queries.select("query_id", F.length("query").alias("q")).join(c, "query_id", "left"))
+
+
+def _with_shares(counts: DataFrame) -> DataFrame:
+    r = counts.na.fill(0, ["n_found", "n_true", "n_both"])
+    share = lambda part: F.when(F.col(part) > 0, F.col("n_both") / F.col(part)).otherwise(F.lit(0.0))
+    return r.select("query_id", "q", "n_found", "n_true", "n_both").withColumn("precision", share("n_found")).withColumn("recall", share("n_true"))
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -169,9 +441,7 @@ def precision_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, key
         met = found.select("query_id", key, "pos").join(truth, ["query_id", key, "pos"], "left")
     f = met.groupBy("query_id").agg(F.count("*").alias("n_found"), F.count("t").alias("n_both"))
     t = truth.groupBy("query_id").agg(F.count("*").alias("n_true"))
-    r = queries.select("query_id", F.length("query").alias("q")).join(f, "query_id", "left").join(t, "query_id", "left").na.fill(0, ["n_found", "n_true", "n_both"])
-    share = lambda part: F.when(F.col(part) > 0, F.col("n_both") / F.col(part)).otherwise(F.lit(0.0))
-    return r.select("query_id", "q", "n_found", "n_true", "n_both").withColumn("precision", share("n_found")).withColumn("recall", share("n_true"))
+    return _with_shares(queries.select("query_id", F.length("query").alias("q")).join(f, "query_id", "left").join(t, "query_id", "left"))
 
 
 def nearest(points: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -222,6 +492,64 @@ def nearest(points: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataF
     return out.groupBy("query_id").agg(F.min(F.struct("d2", key, "pos")).alias("hit")).select("query_id", "hit.*")
 
 
+def nearest_in_texts(df: DataFrame, queries: DataFrame, alphabet: list[str], kind: str = "ring", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, pos, d2): ``nearest`` of the texts' walks, made in their tasks; a task hands on one row a query.
+
+    Once a task has a distance for each query, only points in cells that reach into a circle of that distance are compared: the squares
+    of distances are put into powers of four, and queries of one power share a set of cells.
+    """
+    known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
+    schema = T.StructType([queries.schema["query_id"], T.StructField("d2", T.DoubleType()), T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType())])
+    id_type = _id_type(queries)
+
+    def search(block):
+        ids, qx, qy = [r[0] for r in block], *(np.array([r[c] for r in block], float) for c in (2, 3))
+
+        def run(batches):
+            least, hit = np.full(len(qx), np.inf), [None] * len(qx)
+
+            def better(query: int, d2: np.ndarray, at: np.ndarray, keys, pos) -> None:
+                best = float(d2.min())
+                one = min((keys[i].as_py(), int(pos[i])) for i in at[d2 == best])
+                if best < least[query] or one < hit[query]:
+                    least[query], hit[query] = best, one
+
+            for batch in batches:
+                for rows, points, at in folds.texts(batch):
+                    if not len(points):
+                        continue
+                    x, y = folds.walk_texts(w, _known(points, known), at)
+                    pos, keys = _positions(at), rows.column("_key").take(pa.array(folds.of_row(at)))
+                    a, size = 0, 256
+                    while a < len(x):  # ever longer runs, as distances shrink
+                        px, py = x[a : a + size], y[a : a + size]
+                        if hit and hit[0] is None:
+                            for j in range(len(qx)):
+                                d2 = (px - qx[j]) ** 2 + (py - qy[j]) ** 2
+                                better(j, d2[d2 == d2.min()], a + np.flatnonzero(d2 == d2.min()), keys, pos)
+                        else:
+                            disc = _Disc(qx, qy, np.exp2(np.ceil(np.log2(np.maximum(np.sqrt(least), 1e-12)))))
+                            for i, query in disc.find(px, py):
+                                d2 = (px[i] - qx[query]) ** 2 + (py[i] - qy[query]) ** 2
+                                on = d2 <= least[query]
+                                i, query, d2 = i[on], query[on], d2[on]
+                                lowest = np.full(len(qx), np.inf)
+                                np.minimum.at(lowest, query, d2)
+                                on = d2 == lowest[query]
+                                i, query, d2 = i[on], query[on], d2[on]
+                                for j in np.unique(query):
+                                    better(j, d2[query == j], a + i[query == j], keys, pos)
+                        a, size = a + size, min(2 * size, folds.BLOCK)
+            got = [j for j, h in enumerate(hit) if h is not None]
+            yield pa.record_batch([pa.array([ids[j] for j in got], id_type), pa.array(least[got]), pa.array([hit[j][0] for j in got], keys_type), pa.array([hit[j][1] for j in got], pa.int32())], names=schema.names)
+
+        return _rows(df, key, text).mapInArrow(run, schema)
+
+    keys_type = to_arrow_type(df.schema[key].dataType)
+    out = _in_blocks(_placed(queries, FEW // 10), search)
+    return out.groupBy("query_id").agg(F.min(F.struct("d2", key, "pos")).alias("hit")).select("query_id", "hit.*")
+
+
 def decay(df: DataFrame, alphabet: list[str], kind: str, theory: Column, cap: int = 30, least: int = 5, keep_zero: bool = False, step: int = 7919, text: str = "text") -> DataFrame:
     """(suffix, n, median_distance, theory): each point of a text with that of place (pos * step mod length) + 1, by their common suffix.
 

@@ -8,7 +8,6 @@ spans of a row are inverted at once.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +63,10 @@ def walk(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: float |
                 if t is None:
                     continue
                 alphabet, ids = folds.ranked(t)
-                w = folds.ring(max(1, len(alphabet)), ratio)
-                for a, x, y in chain([(-1, np.zeros(1), np.zeros(1))], folds.blocks(w, ids)):
-                    yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(len(x), i))), "pos": _int(np.arange(a + 1, a + 1 + len(x))), "x": pa.array(x), "y": pa.array(y)})
+                x, y = (np.r_[0.0, v] for v in folds.points(folds.ring(max(1, len(alphabet)), ratio), ids))
+                for a in range(0, len(x), folds.BLOCK):
+                    part = slice(a, a + folds.BLOCK)
+                    yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(len(x[part]), i))), "pos": _int(np.arange(a, a + len(x[part]))), "x": pa.array(x[part]), "y": pa.array(y[part])})
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
     return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)

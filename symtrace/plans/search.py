@@ -63,10 +63,14 @@ def radius_search_grid(spark, sf_dir):
     return _counted(q, found)
 
 
+def _precision(spark, sf_dir, kind: str, precision: str = "f64"):
+    docs = _docs(spark, sf_dir)
+    return R.precision_counts(docs, _queries(spark, sf_dir), R.corpus_alphabet(docs), kind, precision)
+
+
 def index_precision_f32(spark, sf_dir):
     """Recall of substrings when points are kept at 32 bits."""
-    docs, q, found = _found(spark, sf_dir, "ring", "f32")
-    r = R.precision_recall(found, R.occurrences(docs, q), q)
+    r = _precision(spark, sf_dir, "ring", "f32")
     return r.groupBy(F.col("q").cast(long).alias("q")).agg(F.sum("n_true").cast(long).alias("n_true"), F.sum("n_both").cast(long).alias("n_both"))
 
 
