@@ -76,8 +76,7 @@ def index_precision_f32(spark, sf_dir):
 
 def index_precision_f16(spark, sf_dir):
     """As at 32 bits, with 16; what a radius this wide finds is not exact, so there is no SQL for it."""
-    docs, q, found = _found(spark, sf_dir, "ring", "f16")
-    r = R.precision_recall(found, R.occurrences(docs, q), q)
+    r = _precision(spark, sf_dir, "ring", "f16")
     return r.groupBy(F.col("q").cast(long).alias("q")).agg(F.sum("n_found").cast(long).alias("n_found"), F.sum("n_true").cast(long).alias("n_true"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
