@@ -83,8 +83,7 @@ def index_precision_f16(spark, sf_dir):
 def retrieval_pr(spark, sf_dir):
     out = None
     for kind in ("ring", "grid"):
-        docs, q, found = _found(spark, sf_dir, kind)
-        r = R.precision_recall(found, R.occurrences(docs, q), q)
+        r = _precision(spark, sf_dir, kind)
         one = r.groupBy("q").agg(F.count("*").alias("queries"), F.sum("n_true").cast(long).alias("n_true"), F.avg("recall").alias("recall"))
         one = one.select(F.lit(kind).alias("kind"), F.col("q").cast(long).alias("q"), "queries", "n_true", F.round("recall", 6).alias("recall"))
         out = one if out is None else out.unionByName(one)
