@@ -31,10 +31,15 @@ def walk_points(spark, sf_dir):
     return w.groupBy("doc_id").agg(F.count("*").alias("points"), (F.round(F.sum("x"), 4) + 0.0).alias("sum_x"), (F.round(F.sum("y"), 4) + 0.0).alias("sum_y"))
 
 
+def _counted(q, pairs, n: str):
+    """Sums and numbers of documents of (query_id, doc_id, n)."""
+    c = pairs.groupBy("query_id").agg(F.sum(n).alias(n), F.countDistinct("doc_id").alias("n_docs"))
+    return q.join(c, "query_id", "left").na.fill(0, [n, "n_docs"])
+
+
 def substring_truth(spark, sf_dir):
     q = _queries(spark, sf_dir)
-    t = R.occurrences(_docs(spark, sf_dir), q).groupBy("query_id").agg(F.count("*").alias("n_true"), F.countDistinct("doc_id").alias("n_docs"))
-    return q.join(t, "query_id", "left").select("query_id", "query", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    return _counted(q, R.occurrence_counts(_docs(spark, sf_dir), q), "n_true").select("query_id", "query", "n_true", "n_docs")
 
 
 def _found(spark, sf_dir, kind: str, precision: str = "f64"):
@@ -48,19 +53,19 @@ def _found(spark, sf_dir, kind: str, precision: str = "f64"):
     return docs, q, R.radius_join(points, qp)
 
 
-def _counted(q, found):
+def _counted_pairs(q, found):
     c = found.groupBy("query_id").agg(F.count("*").alias("n_found"), F.countDistinct("doc_id").alias("n_docs"))
     return q.select("query_id").join(c, "query_id", "left").select("query_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 def radius_search_ring(spark, sf_dir):
     _, q, found = _found(spark, sf_dir, "ring")
-    return _counted(q, found)
+    return _counted_pairs(q, found)
 
 
 def radius_search_grid(spark, sf_dir):
     _, q, found = _found(spark, sf_dir, "grid")
-    return _counted(q, found)
+    return _counted_pairs(q, found)
 
 
 def _precision(spark, sf_dir, kind: str, precision: str = "f64"):
