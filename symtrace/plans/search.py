@@ -42,30 +42,20 @@ def substring_truth(spark, sf_dir):
     return _counted(q, R.occurrence_counts(_docs(spark, sf_dir), q), "n_true").select("query_id", "query", "n_true", "n_docs")
 
 
-def _found(spark, sf_dir, kind: str, precision: str = "f64"):
+def _radius_search(spark, sf_dir, kind: str):
     docs = _docs(spark, sf_dir)
     alphabet = R.corpus_alphabet(docs)
     q = _queries(spark, sf_dir)
-    points = R.at_precision(R.walk_index(docs, alphabet, kind), precision)
-    qp = R.query_points(q, alphabet, kind)
-    if precision != "f64":
-        qp = R.widened(qp, precision)
-    return docs, q, R.radius_join(points, qp)
-
-
-def _counted_pairs(q, found):
-    c = found.groupBy("query_id").agg(F.count("*").alias("n_found"), F.countDistinct("doc_id").alias("n_docs"))
-    return q.select("query_id").join(c, "query_id", "left").select("query_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    found = R.radius_counts(docs, R.query_points(q, alphabet, kind), alphabet, kind)
+    return _counted(q, found, "n_found").select("query_id", "n_found", "n_docs")
 
 
 def radius_search_ring(spark, sf_dir):
-    _, q, found = _found(spark, sf_dir, "ring")
-    return _counted_pairs(q, found)
+    return _radius_search(spark, sf_dir, "ring")
 
 
 def radius_search_grid(spark, sf_dir):
-    _, q, found = _found(spark, sf_dir, "grid")
-    return _counted_pairs(q, found)
+    return _radius_search(spark, sf_dir, "grid")
 
 
 def _precision(spark, sf_dir, kind: str, precision: str = "f64"):
