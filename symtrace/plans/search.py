@@ -88,7 +88,7 @@ def retrieval_pr(spark, sf_dir):
 def nearest_point(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     alphabet = R.corpus_alphabet(docs)
-    got = R.nearest(R.walk_index(docs, alphabet, "ring"), R.query_points(_queries(spark, sf_dir, (12,)), alphabet, "ring"))
+    got = R.nearest_in_texts(docs, R.query_points(_queries(spark, sf_dir, (12,)), alphabet, "ring"), alphabet, "ring")
     return got.select("query_id", F.round(F.sqrt("d2"), 9).alias("distance"))
 
 
