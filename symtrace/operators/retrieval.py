@@ -550,36 +550,93 @@ def nearest_in_texts(df: DataFrame, queries: DataFrame, alphabet: list[str], kin
     return out.groupBy("query_id").agg(F.min(F.struct("d2", key, "pos")).alias("hit")).select("query_id", "hit.*")
 
 
+BINS = 39  #: low bits of a distance that the first pass of ``decay`` leaves out; 8,192 bins for each power of two are left
+EXACT = 2_000_000  #: distances, or fewer, of the medians' bins that are counted one by one
+
+
 def decay(df: DataFrame, alphabet: list[str], kind: str, theory: Column, cap: int = 30, least: int = 5, keep_zero: bool = False, step: int = 7919, text: str = "text") -> DataFrame:
     """(suffix, n, median_distance, theory): each point of a text with that of place (pos * step mod length) + 1, by their common suffix.
 
-    Both points, and the symbols before them, are in the row, so pairs are made there; what is shuffled is (suffix, distance).
+    Both points, and the symbols before them, are in the row, so pairs are made there. Medians are exact: a pass counts distances by
+    their upper bits, in tasks, and the next only those that share the bits of the medians' bins, by more bits; with all bits, a bin is
+    a distance. So what is shuffled and held is counts of bins, not distances.
     """
     known, w = folds.code_points("".join(alphabet)), _walk(len(alphabet), kind)
 
-    def run(batches):
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if not t:
-                    continue
-                points = folds.code_points(t)
-                ids, n = _ids(points, known), len(points)
-                x, y = folds.points(w, ids)
-                for a in range(1, n + 1, folds.BLOCK):
-                    pos = np.arange(a, min(a + folds.BLOCK, n + 1))
-                    other = pos * step % n + 1
-                    same, suffix = np.ones(len(pos), bool), np.zeros(len(pos), np.int64)
-                    for j in range(cap):
-                        there = (pos > j) & (other > j)
-                        same &= there & (points[np.maximum(pos - 1 - j, 0)] == points[np.maximum(other - 1 - j, 0)])
-                        suffix += same
-                    dx, dy = x[pos - 1] - x[other - 1], y[pos - 1] - y[other - 1]
-                    d = np.sqrt(dx * dx + dy * dy)
-                    keep = (pos != other) & (keep_zero | (d > 0))
-                    yield pa.record_batch({"suffix": pa.array(suffix[keep].astype(np.int32)), "d": pa.array(d[keep])})
-
-    d = df.select(F.col(text).alias("text")).mapInArrow(run, "suffix int, d double")
-    return d.groupBy("suffix").agg(F.count("*").alias("n"), F.median("d").alias("median_distance")).where(F.col("n") >= least).withColumn("theory", theory)
+    def pairs(points, at):
+        """(suffix, bits of the distance); distances aren't negative, so their bits have their order."""
+        x, y = folds.walk_texts(w, _known(points, known), at)
+        start, size = np.repeat(at[:-1], np.diff(at)), np.repeat(np.diff(at), np.diff(at))
+        pos = np.arange(1, len(points) + 1) - start
+        other = pos * step % size + 1
+        on = np.flatnonzero(pos != other)
+        a, b = on, start[on] + other[on] - 1
+        dx, dy = x[a] - x[b], y[a] - y[b]
+        d = np.sqrt(dx * dx + dy * dy)
+        left = np.minimum(pos[on], other[on])
+        suffix, i = np.zeros(len(on), np.int64), np.arange(len(on))
+        for j in range(cap):  # only those that agree up to here go on
+            i = i[left[i] > j]
+            i = i[points[a[i] - j] == points[b[i] - j]]
+            if not len(i):
+                break
+            suffix[i] = j + 1
+        keep = slice(None) if keep_zero else d > 0
+        return suffix[keep], d[keep].view(np.int64)
+
+    def counted(low: int, bins: dict[int, list[int]] | None, above: int) -> DataFrame:
+        """(suffix, bin, n): bits from ``low`` up, of distances whose bits from ``above`` up are one of the suffix's bins."""
+
+        def run(batches):
+            tallies: dict[int, _Tally] = {}
+
+            def rows():
+                for s, t in tallies.items():
+                    value, n = t.take()
+                    for a in range(0, len(value), folds.BLOCK):
+                        part = slice(a, a + folds.BLOCK)
+                        yield pa.record_batch({"suffix": pa.array(np.full(len(value[part]), s, np.int32)), "bin": pa.array(value[part]), "n": pa.array(n[part])})
+
+            for batch in batches:
+                for _, points, at in folds.texts(batch):
+                    suffix, bits = pairs(points, at)
+                    for s in np.flatnonzero(np.bincount(suffix)).tolist():
+                        own = bits[suffix == s]
+                        if bins is not None:
+                            own = own[np.isin(own >> above, bins.get(s, []))]
+                        if len(own):
+                            tallies.setdefault(s, _Tally()).add(own >> low)
+                    if sum(t.size for t in tallies.values()) > MANY:
+                        yield from rows()
+            yield from rows()
+
+        counts = df.select(F.col(text).alias("text")).mapInArrow(run, "suffix int, bin long, n long")
+        return counts.groupBy("suffix", "bin").agg(F.sum("n").alias("n"))
+
+    def middles(counts: DataFrame, ranks: DataFrame | None) -> list:
+        """The bins that hold the lower and upper middle of each suffix, how many distances come before each and in all."""
+        sums = Window.partitionBy("suffix", *(["up"] if ranks is not None else [])).orderBy("bin")
+        c = counts if ranks is None else counts.withColumn("up", F.expr(f"shiftright(bin, {up})")).join(F.broadcast(ranks), ["suffix", "up"])
+        total = F.sum("n").over(Window.partitionBy("suffix")) if ranks is None else F.col("total")
+        c = c.withColumn("before", F.sum("n").over(sums) - F.col("n") + (F.lit(0) if ranks is None else F.col("base"))).withColumn("total", total)
+        middle = F.expr("before <= total div 2 and before + n > (total - 1) div 2")
+        return c.where(middle & (F.col("total") >= least)).select("suffix", "bin", "before", "n", "total").collect()
+
+    spark = df.sparkSession
+    found, low, up = middles(counted(BINS, None, 0), None), BINS, 0
+    while low:
+        up, low = low, 0 if sum(r.n for r in found) <= EXACT else low // 2
+        bins: dict[int, list[int]] = {}
+        for r in found:
+            bins.setdefault(r.suffix, []).append(r.bin)
+        ranks = spark.createDataFrame([(r.suffix, r.bin, r.before, r.total) for r in found], "suffix int, up long, base long, total long")
+        up, above = up - low, up
+        found = middles(counted(low, bins, above), ranks)
+    medians: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: r.bin):
+        medians.setdefault(r.suffix, []).append((r.total, float(np.int64(r.bin).view(np.float64))))
+    rows = [(s, v[0][0], (v[0][1] + v[-1][1]) / 2) for s, v in sorted(medians.items())]
+    return spark.createDataFrame(rows, "suffix int, n long, median_distance double").withColumn("theory", theory)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -92,3 +92,25 @@ def test_precision_in_tasks_equals_joins(texts, queries, precision, monkeypatch)
     want = retrieval.precision_recall(joined, retrieval.occurrences(texts, queries), queries)
     got = retrieval.precision_counts(texts, queries, alphabet, "ring", precision)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("exact", [0, 10**9])
+def test_medians_by_bins_are_exact(spark, texts, exact, monkeypatch):
+    monkeypatch.setattr(retrieval, "EXACT", exact)
+    alphabet = retrieval.corpus_alphabet(texts)
+    for kind, keep_zero, cap in (("ring", False, 30), ("grid", True, 24)):
+        d = {}
+        walk = getattr(folds, kind)(len(alphabet))
+        for t in filter(None, TEXTS):
+            x, y = zip(*_step_by_step(walk, [alphabet.index(c) for c in t]))
+            for p in range(1, len(t) + 1):
+                o = p * 7919 % len(t) + 1
+                s = 0
+                while s < cap and s < min(p, o) and t[p - 1 - s] == t[o - 1 - s]:
+                    s += 1
+                dx, dy = x[p - 1] - x[o - 1], y[p - 1] - y[o - 1]
+                far = (dx * dx + dy * dy) ** 0.5
+                if p != o and (keep_zero or far > 0):
+                    d.setdefault(s, []).append(far)
+        got = retrieval.decay(texts, alphabet, kind, F.lit(1.0), cap=cap, keep_zero=keep_zero)
+        assert {r.suffix: (r.n, r.median_distance) for r in got.collect()} == {s: (len(v), float(np.median(v))) for s, v in d.items() if len(v) >= 5}
