@@ -84,14 +84,25 @@ def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, at if len(points) == len(raw) else np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][at]
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def texts(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, points, at): runs of rows of about ``most`` bytes of text, one row at least, with their code points as ``decoded`` gives them."""
-    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (most or SLICE), side="right")))
+    for lo, hi in runs(numbers(pc.binary_length(batch.column(column))), most or SLICE):
         rows = batch.slice(lo, hi - lo)
         yield rows, *decoded(rows.column(column))
-        lo = hi
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """Whole numbers of a column; null counts as 0."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def strings(points: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -101,6 +112,36 @@ def strings(points: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(as_text(points).encode()))
 
 
+def starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of rows of these sizes starts, and the last ends."""
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+
+def flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists one after another, and where each list starts and the last ends."""
+    return column.flatten(), starts(numbers(pc.list_value_length(column)))
+
+
+def taken(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of some rows, one after another."""
+    to = starts(np.diff(at)[rows])
+    return values[np.arange(to[-1]) + np.repeat(at[:-1][rows] - to[:-1], np.diff(to))], to
+
+
+def joined(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each list of a with that of b behind it."""
+    at = a_at + b_at
+    out = np.empty(at[-1], np.result_type(a, b))
+    out[np.arange(len(a)) + np.repeat(b_at[:-1], np.diff(a_at))] = a
+    out[np.arange(len(b)) + np.repeat(a_at[1:], np.diff(b_at))] = b
+    return out, at
+
+
+def letters(symbols: np.ndarray) -> pa.Array:
+    """Code points as strings of one symbol."""
+    return strings(symbols, np.arange(len(symbols) + 1))
+
+
 def of_row(at: np.ndarray) -> np.ndarray:
     """The row of each of the values that lie one after another."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -271,4 +312,4 @@ def _alternatives(walk: Walk, x: float, y: float, c: int, ax: float, ay: float,
 
 def lists(values: pa.Array, sizes) -> pa.ListArray:
     """Lists of the given sizes over values that lie one after another."""
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int32)), values)
+    return pa.ListArray.from_arrays(pa.array(starts(np.asarray(sizes, np.int64)).astype(np.int32)), values)

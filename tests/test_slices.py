@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from symtrace.operators import folds, retrieval
+from symtrace.operators import folds, grid, pack, retrieval
 
 R = random.Random(11)
 TEXTS = ["", None, "a", "".join(R.choice("abcdef ü🦜") for _ in range(3000)), "abc" * 700, "aab" * 900 + "b", "".join(R.choice("ab") for _ in range(1500))]
@@ -114,3 +114,50 @@ def test_medians_by_bins_are_exact(spark, texts, exact, monkeypatch):
                     d.setdefault(s, []).append(far)
         got = retrieval.decay(texts, alphabet, kind, F.lit(1.0), cap=cap, keep_zero=keep_zero)
         assert {r.suffix: (r.n, r.median_distance) for r in got.collect()} == {s: (len(v), float(np.median(v))) for s, v in d.items() if len(v) >= 5}
+
+
+@pytest.mark.parametrize("most", [50, 1 << 20])
+def test_archives_of_slices_are_whole_numbers(spark, most, monkeypatch):
+    """All texts of a slice at once, however rows fall into slices, with alphabets of 1 to 3,000 symbols."""
+    monkeypatch.setattr(folds, "SLICE", most)
+    texts = ["", None, "a" * 250, "abca" * 60, "".join(chr(200 + R.randrange(3000)) for _ in range(5000)), "🦜ü" * 80 + "x", TEXTS[3]]
+    for codec, name in ((pack, "vectors"), (grid, "spans")):
+        batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+        out = [r for b in _encoded_batches(spark, codec, batch) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in out] == list(range(len(texts)))
+        for r, t in zip(out, texts):
+            t = t or ""
+            a = sorted(set(t))
+            assert (r["length"], r["n"], r["alphabet"]) == (len(t), len(a), a)
+            ids = [a.index(c) for c in t]
+            if codec is pack:
+                m, base = r["cpv"] or 1, max(len(a), 2)
+                value = [sum(d * base**j for j, d in enumerate(ids[s : s + m])) for s in range(0, len(t), m)]
+                assert [(v["xi"], v["yi"]) for v in r[name]] == [(v % 2**52, v >> 52) for v in value]
+            else:
+                m, k = r["grid_span"], r["k"]
+                assert [(v["ix"], v["iy"]) for v in r[name]] == [tuple(sum(f(d) * k**j for j, d in enumerate(ids[s : s + m])) for f in (lambda d: d % k, lambda d: d // k)) for s in range(0, len(t), m)]
+            assert [v["c"] for v in r[name]] == [min(m, len(t) - s) for s in range(0, len(t), m)]
+
+
+def _encoded_batches(spark, codec, batch):
+    """What the codec's batch function makes of a batch, in this process."""
+
+    class Taken:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run([batch.rename_columns(["_key", "text"])]))
+
+    return codec.encode(Taken())
+
+
+def test_random_access_and_append_stay_right_for_odd_rows(spark):
+    pairs = [("", None), (None, "x"), ("ab", "ba" * 300), ("abc", "d"), ("a" * 104, "a"), ("ü🦜", "🦜"), (None, None)]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "doc_id long, text string, more string")
+    first = pack.encode(d).join(d.select("doc_id", "more"), "doc_id")
+    got = {r.doc_id: (r.length, r.decoded) for r in pack.decode(pack.append(first, "more")).collect()}
+    assert got == {i: (len((a or "") + (b or "")), (a or "") + (b or "")) for i, (a, b) in enumerate(pairs)}
