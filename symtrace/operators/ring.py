@@ -30,26 +30,22 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", span: int | N
 
     def run(batches):
         for batch in batches:
-            head, alphabets, cs, xs, ys = [], [], [], [], []
-            for t in batch.column("text").to_pylist():
-                if not t:
-                    head.append((0, 0, None, None, None, 0))
-                    alphabets.append([])
-                    continue
-                alphabet, ids = folds.ranked(t)
-                walk = folds.ring(len(alphabet))
-                m = min(span or walk.span, walk.span)
-                ends = np.minimum(np.arange(m, len(ids) + m, m), len(ids))
-                x, y = (v[ends - 1] for v in folds.points(walk, ids))
-                head.append((len(ids), walk.n, walk.ratio, m, walk.back, len(ends)))
-                alphabets.append(list(folds.as_text(alphabet)))
-                cs.append(np.diff(ends, prepend=0))
-                xs.append(x)
-                ys.append(y)
-            length, n, ratio, m, back, k = zip(*head) if head else [()] * 6
-            flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
-            points = pa.StructArray.from_arrays([flat(cs, np.int32), flat(xs, float), flat(ys, float)], ["c", "x", "y"])
-            yield pa.record_batch({key: batch.column("_key"), "length": pa.array(length, pa.int32()), "n": pa.array(n, pa.int32()), "ratio": pa.array(ratio, pa.float64()), "span": pa.array(m, pa.int32()), "history": pa.array(back, pa.int32()), "alphabet": pa.array(alphabets, pa.list_(pa.string())), "points": folds.lists(points, k)})
+            for rows, points, at in folds.texts(batch):
+                symbols, first, ids = folds.alphabets(points, at)
+                n, length = np.diff(first), np.diff(at)
+                walks = {int(i): folds.ring(int(i)) for i in np.unique(n[n > 0])}
+                own = [walks.get(int(i)) for i in n]
+                vertex = first[folds.of_row(at)] + ids
+                vx, vy = (np.concatenate([np.zeros(0), *(getattr(w, f) for w in own if w)])[vertex] for f in ("vx", "vy"))
+                x, y = folds.walked(at, vx, vy, np.array([w.ratio if w else 0.5 for w in own]), max((w.back for w in own if w), default=0))
+                m = np.array([min(span or w.span, w.span) if w else 1 for w in own], np.int64)
+                row, k = folds.of_row(folds.starts(-(-length // m))), -(-length // m)
+                ends = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + 1) * m[row], length[row])
+                c = ends - np.where(np.r_[True, row[1:] != row[:-1]][: len(row)], 0, np.r_[0, ends[:-1]][: len(row)])
+                last = at[row] + ends - 1
+                parts = pa.StructArray.from_arrays([_int(c), pa.array(x[last]), pa.array(y[last])], ["c", "x", "y"])
+                given = lambda values, kind: pa.array([v if w else None for v, w in zip(values, own)], kind)
+                yield pa.record_batch({key: rows.column("_key"), "length": _int(length), "n": _int(n), "ratio": given([w and w.ratio for w in own], pa.float64()), "span": given(m.tolist(), pa.int32()), "history": given([w and w.back for w in own], pa.int32()), "alphabet": folds.lists(folds.letters(symbols), n), "points": folds.lists(parts, k)})
 
     return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), *_ARCHIVE]))
 
@@ -77,19 +73,27 @@ def decode(archive: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            points, out = batch.column("points"), []
-            at, flat = points.offsets.to_numpy(), points.values
-            c, x, y = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("c", "x", "y"))
-            for i, (n, alphabet) in enumerate(zip(batch.column("n").to_pylist(), batch.column("alphabet").to_pylist())):
-                s = slice(at[i], at[i + 1])
-                ids, repaired = folds.inverted(folds.ring(n), x[s], y[s], c[s].astype(np.int64), np.r_[0.0, x[s][:-1]], np.r_[0.0, y[s][:-1]])
-                lost = np.flatnonzero(ids[:, 0] < 0)
-                if len(lost):
-                    raise ValueError(f"span can't be decoded: {lost[0]}")
-                symbols = folds.code_points("".join(alphabet))
-                out.append((folds.as_text(symbols[ids[ids >= 0]]), len(ids), int(repaired.sum())))
-            text, spans_, repaired_ = zip(*out) if out else ((), (), ())
-            yield pa.record_batch({key: batch.column(key), "decoded": pa.array(text, pa.string()), "n_spans": pa.array(spans_, pa.int64()), "n_repaired": pa.array(repaired_, pa.int64())})
+            for lo, hi in folds.runs(folds.flat(batch.column("points"))[1][1:] - folds.flat(batch.column("points"))[1][:-1], folds.SLICE // 16):
+                rows = batch.slice(lo, hi - lo)
+                flat, at = folds.flat(rows.column("points"))
+                names, first = folds.flat(rows.column("alphabet"))
+                symbols = folds.decoded(names)[0]
+                c, x, y = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("c", "x", "y"))
+                c, row, n = c.astype(np.int64), folds.of_row(at), folds.numbers(rows.column("n"))
+                before = np.r_[True, row[1:] != row[:-1]][: len(row)]
+                ax, ay = (np.where(before, 0.0, np.r_[0.0, v[:-1]][: len(v)]) for v in (x, y))
+                to = folds.starts(c)
+                ids, again = np.empty(to[-1], np.int64), np.zeros(len(c), bool)
+                for size in np.unique(n).tolist():  # rows that share a walk are inverted at once
+                    s = np.flatnonzero(n[row] == size)
+                    got, again[s] = folds.inverted(folds.ring(size), x[s], y[s], c[s], ax[s], ay[s])
+                    lost = np.flatnonzero(got[:, 0] < 0)
+                    if len(lost):
+                        raise ValueError(f"span can't be decoded: {s[lost[0]] - at[row[s[lost[0]]]]}")
+                    r, j = np.nonzero(got >= 0)
+                    ids[to[s[r]] + j] = got[r, j]
+                text = folds.strings(symbols[np.repeat(first[row], c) + ids], to[at])
+                yield pa.record_batch({key: rows.column(key), "decoded": text, "n_spans": pa.array(np.diff(at)), "n_repaired": pa.array(np.bincount(row[again], minlength=len(n)))})
 
     schema = T.StructType([T.StructField(key, archive.schema[key].dataType), T.StructField("decoded", T.StringType()), T.StructField("n_spans", T.LongType()), T.StructField("n_repaired", T.LongType())])
     return archive.where("length > 0").select(key, "n", "alphabet", "points").mapInArrow(run, schema)
