@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from symtrace.operators import folds, grid, pack, retrieval
+from symtrace.operators import damage, folds, grid, pack, retrieval
 
 R = random.Random(11)
 TEXTS = ["", None, "a", "".join(R.choice("abcdef ü🦜") for _ in range(3000)), "abc" * 700, "aab" * 900 + "b", "".join(R.choice("ab") for _ in range(1500))]
@@ -161,3 +161,23 @@ def test_random_access_and_append_stay_right_for_odd_rows(spark):
     first = pack.encode(d).join(d.select("doc_id", "more"), "doc_id")
     got = {r.doc_id: (r.length, r.decoded) for r in pack.decode(pack.append(first, "more")).collect()}
     assert got == {i: (len((a or "") + (b or "")), (a or "") + (b or "")) for i, (a, b) in enumerate(pairs)}
+
+
+def test_damage_is_marked_within_rows(spark):
+    texts = ["", None, "a", "aébcü🦜" * 300, "abc" * 100, "xyz" * 30, "same"]
+    back = ["b", "x", None, "aXbcü?" * 290, "abc" * 120, "", "same"]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, back))], "doc_id long, original string, recovered string")
+    marks = damage.compared(d)
+    want, maps = {}, {}
+    for i, (a, b) in enumerate(zip(texts, back)):
+        if a:
+            bad = [p for p, c in enumerate(a) if p >= len(b or "") or b[p] != c]
+            runs = [p for p in bad if p - 1 not in bad]
+            want[i] = (len(a), len(bad), len(runs), bad[0] if bad else -1, bad[-1] if bad else -1)
+            size = max(1, len(a) // 7)
+            each = [(sum(p in bad for p in range(s, min(s + size, len(a)))), min(size, len(a) - s)) for s in range(0, len(a), size)]
+            maps[i] = "".join("X" if k > m // 2 else "x" if k else "." for k, m in each)
+    assert {r.doc_id: tuple(r)[1:] for r in damage.regions(marks).collect()} == want
+    got = damage.damage_map(marks, 7)
+    assert {r.doc_id: r.map for r in got.collect()} == maps
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # every symbol was shuffled
