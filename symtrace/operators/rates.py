@@ -26,47 +26,66 @@ def exploded(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(key, F.posexplode(symbols(F.col(text))).alias("pos", "sym"))
 
 
-def _codes(ids: np.ndarray, orders) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, how often each symbol's context came before, and with that symbol), contexts at the start being shorter."""
-    context = np.zeros(len(ids), np.int64)
-    for order in range(max(orders) + 1):
-        if order:  # the last ``order`` symbols are the last order - 1 of the place before, and the symbol there
-            own = np.r_[0, context[:-1] * (ids.max() + 1) + ids[:-1] + 1]
-            context = np.unique(own, return_inverse=True)[1]
-        if order in orders:
-            yield order, _before(context), _before(context * (ids.max() + 1) + ids)
+COUNTED = 60_000  #: bytes of texts whose contexts are counted at once; contexts then have 16 bits, which numpy sorts by radix
+
+
+def _sorted(key: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """The stable order of whole numbers below 2 ** 32, or of those in an order given, 16 bits after the other."""
+    o = np.arange(len(key)) if among is None else among
+    o = o[np.argsort(key[o].astype(np.uint16), kind="stable")]
+    return o if key.max(initial=0) < 1 << 16 else o[np.argsort((key >> 16)[o].astype(np.uint16), kind="stable")]
 
 
-def _before(key: np.ndarray) -> np.ndarray:
-    """How many equal ones come before each."""
-    o = np.argsort(key, kind="stable")
-    first = np.r_[True, key[o][1:] != key[o][:-1]]
+def _before(o: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of its group come before each, in an order that groups them; ``first`` marks each group's first."""
     start = np.flatnonzero(first)
-    out = np.empty(len(key), np.int64)
-    out[o] = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
+    out = np.empty(len(o), np.int64)
+    out[o] = np.arange(len(o)) - np.repeat(start, np.diff(np.r_[start, len(o)]))
     return out
 
 
-def _bits(text: str, orders) -> Iterator[tuple[int, np.ndarray]]:
-    alphabet, ids = folds.ranked(text)
-    for order, seen, same in _codes(ids, orders):
-        yield order, -np.log2((same + 1) / (seen + len(alphabet)))
+def _codes(ids: np.ndarray, at: np.ndarray, orders) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, how often each symbol's context came before, and with that symbol) of texts one after another, contexts at a text's start being shorter."""
+    context, by_symbol = folds.of_row(at), _sorted(ids)
+    some = at[:-1][np.diff(at) > 0]
+    for order in range(max(orders) + 1):
+        o = _sorted(context, by_symbol)
+        c, i = context[o], ids[o]
+        first = np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1])]
+        if order in orders:
+            p = _sorted(context)
+            yield order, _before(p, np.r_[True, context[p][1:] != context[p][:-1]]), _before(o, first)
+        # the last ``order`` + 1 symbols are the last ``order`` of the place before, and the symbol there
+        group = np.empty(len(ids), np.int64)
+        group[o] = np.cumsum(first) - 1
+        context = np.r_[0, group[:-1]]
+        context[some] = int(first.sum()) + np.arange(len(some))
+
+
+def _bits(points: np.ndarray, at: np.ndarray, orders) -> Iterator[tuple[int, np.ndarray]]:
+    """(order, bits of each symbol) of texts one after another."""
+    if len(points):
+        _, first, ids = folds.alphabets(points, at)
+        n = np.repeat(np.diff(first), np.diff(at))
+        for order, seen, same in _codes(ids, at, orders):
+            yield order, -np.log2((same + 1) / (seen + n))
 
 
 def ngram_bits(df: DataFrame, orders=ORDERS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, ord, n, bits): add-one prequential code length of each of a text's n symbols; contexts at its start are shorter.
 
-    A text is counted within its row, by sorts of its contexts, so nothing is shuffled.
+    Texts are counted in their task, by sorts of their contexts, so nothing is shuffled.
     """
 
     def run(batches):
         for batch in batches:
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                for order, bits in _bits(t, orders) if t else ():
+            for rows, points, at in folds.texts(batch, most=COUNTED):
+                row = folds.of_row(at)
+                pos, n = (np.arange(len(points)) - at[row]).astype(np.int32), np.diff(at)[row]
+                for order, bits in _bits(points, at, orders):
                     for a in range(0, len(bits), folds.BLOCK):
-                        part = bits[a : a + folds.BLOCK]
-                        m = len(part)
-                        yield pa.record_batch({key: batch.column("_key").take(pa.array(np.full(m, i))), "pos": pa.array(np.arange(a, a + m, dtype=np.int32)), "ord": pa.array(np.full(m, order, np.int32)), "n": pa.array(np.full(m, len(bits))), "bits": pa.array(part)})
+                        p = slice(a, a + folds.BLOCK)
+                        yield pa.record_batch({key: rows.column("_key").take(pa.array(row[p])), "pos": pa.array(pos[p]), "ord": pa.array(np.full(len(pos[p]), order, np.int32)), "n": pa.array(n[p]), "bits": pa.array(bits[p])})
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("bits", T.DoubleType())])
     return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -77,9 +96,11 @@ def ngram_rate(df: DataFrame, orders=ORDERS, key: str = "doc_id", text: str = "t
 
     def run(batches):
         for batch in batches:
-            got = [(i, order, len(bits), float(bits.sum())) for i, t in enumerate(batch.column("text").to_pylist()) if t for order, bits in _bits(t, orders)]
-            row, order, n, bits = zip(*got) if got else [()] * 4
-            yield pa.record_batch({key: batch.column("_key").take(pa.array(row, pa.int64())), "ord": pa.array(order, pa.int32()), "symbols": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.float64())})
+            for rows, points, at in folds.texts(batch, most=COUNTED):
+                some = np.flatnonzero(np.diff(at))
+                for order, bits in _bits(points, at, orders):
+                    sums = [float(bits[at[i] : at[i + 1]].sum()) for i in some]
+                    yield pa.record_batch({key: rows.column("_key").take(pa.array(some)), "ord": pa.array(np.full(len(some), order, np.int32)), "symbols": pa.array(np.diff(at)[some]), "bits": pa.array(sums, pa.float64())})
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ord", T.IntegerType()), T.StructField("symbols", T.LongType()), T.StructField("bits", T.DoubleType())])
     return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumn("bpc", F.col("bits") / F.col("symbols"))

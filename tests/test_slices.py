@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from symtrace.operators import damage, folds, grid, pack, retrieval
+from symtrace.operators import damage, folds, grid, pack, rates, retrieval
 
 R = random.Random(11)
 TEXTS = ["", None, "a", "".join(R.choice("abcdef ü🦜") for _ in range(3000)), "abc" * 700, "aab" * 900 + "b", "".join(R.choice("ab") for _ in range(1500))]
@@ -181,3 +181,27 @@ def test_damage_is_marked_within_rows(spark):
     got = damage.damage_map(marks, 7)
     assert {r.doc_id: r.map for r in got.collect()} == maps
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # every symbol was shuffled
+
+
+@pytest.mark.parametrize("counted", [10, 60_000])
+def test_rates_of_texts_side_by_side(spark, counted, monkeypatch):
+    """Contexts of one text are not those of the next, at 16 bits of contexts and above."""
+    monkeypatch.setattr(rates, "COUNTED", counted)
+    texts = ["", None, "a", "abab", "ab" * 40 + "c", TEXTS[6], "".join(R.choice("abcdefghijklmnop") for _ in range(70_000))]
+    got = {}
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    done = 0
+    for rows, points, at in folds.texts(batch, most=counted):
+        for order, bits in rates._bits(points, at, (0, 1, 2, 6)):
+            for i in range(len(at) - 1):
+                got[done + i, order] = bits[at[i] : at[i + 1]].tolist()
+        done += len(rows)
+    for i, t in enumerate(texts):
+        for order in (0, 1, 2, 6):
+            contexts, pairs, want, size = {}, {}, [], len(set(t or ""))
+            for p, c in enumerate(t or ""):
+                context = t[max(0, p - order) : p]
+                want.append(-np.log2((pairs.get((context, c), 0) + 1) / (contexts.get(context, 0) + size)))
+                contexts[context] = contexts.get(context, 0) + 1
+                pairs[context, c] = pairs.get((context, c), 0) + 1
+            assert np.allclose(got.get((i, order), []), want, rtol=0, atol=1e-12)
