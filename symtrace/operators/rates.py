@@ -188,24 +188,121 @@ def interval_sweep(df: DataFrame, budgets=(200, 400, 800, 1200), key: str = "doc
     """
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, whole in zip(pdf[key], pdf[text]):
-                for b in range(0, len(whole or ""), length):
-                    t = whole[b : b + length]
-                    m = Intervals(t)
-                    for reverse in (False, True):
-                        s = t[::-1] if reverse else t
-                        p = m.point(s)
-                        exact = m.text(p, len(s)) == s
-                        for bits in budgets:
-                            got = m.text(cut(p, bits), len(s))
-                            got = got[::-1] if reverse else got
-                            bad = [i for i, (x, y) in enumerate(zip(got, t)) if x != y]
-                            out.append((k, b // length, reverse, bits, len(t), len(bad), bad[0] if bad else -1, bad[-1] if bad else -1, exact))
-            yield pd.DataFrame(out, columns=[key, "block", "reverse", "bits", "symbols", "wrong", "first_bad", "last_bad", "lossless"])
-
-    return df.select(key, text).mapInPandas(run, f"{key} long, block int, reverse boolean, bits int, symbols int, wrong int, first_bad int, last_bad int, lossless boolean")
+        for batch in batches:
+            for rows, points, at in folds.texts(batch, most=folds.SLICE // 4):
+                if not len(points):
+                    continue
+                blocks = -(-np.diff(at) // length)
+                row = np.repeat(np.arange(len(blocks)), blocks)
+                no = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                s = at[row] + no * length
+                n = np.minimum(length, at[row + 1] - s)
+                spelt = np.zeros((len(s), length), np.uint32)
+                inside = np.arange(length) < n[:, None]
+                spelt[inside] = points
+                for reverse in (False, True):
+                    if reverse:
+                        spelt[inside] = np.concatenate([spelt[i, : n[i]][::-1] for i in range(len(n))])
+                    exact, wrong = _swept(spelt, n, budgets)
+                    for bits, bad in zip(budgets, wrong):
+                        some, first, last = bad.any(1), bad.argmax(1), length - 1 - bad[:, ::-1].argmax(1)
+                        if reverse:
+                            first, last = n - 1 - last, n - 1 - first
+                        m = len(n)
+                        whole = lambda v: pa.array(np.asarray(v, np.int32))
+                        yield pa.record_batch({key: rows.column("_key").take(pa.array(row)), "block": whole(no), "reverse": pa.array(np.full(m, reverse)), "bits": whole(np.full(m, bits)), "symbols": whole(n), "wrong": whole(bad.sum(1)), "first_bad": whole(np.where(some, first, -1)), "last_bad": whole(np.where(some, last, -1)), "lossless": pa.array(exact)})
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(run, f"{key} long, block int, reverse boolean, bits int, symbols int, wrong int, first_bad int, last_bad int, lossless boolean")
+
+
+def _swept(spelt: np.ndarray, n: np.ndarray, budgets) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(exact, wrong for each budget): whether each block's point lies in the block's interval, and which symbols its point cut to some bits gives wrong.
+
+    As ``Intervals.point``, ``cut`` and ``Intervals.text`` for each block, with the same whole numbers, but long ones are touched
+    only once for several symbols: what these do to a point is one product and one difference, whose factors have less than 62 bits.
+    Intervals lie in each other, so a cut point gives the symbols of all prefixes in whose interval it lies; decoding starts at the
+    last of them that was kept. It goes on by floats for all points at once as far as their rounding leaves no doubt, else by the
+    whole numbers themselves.
+    """
+    rows, length = spelt.shape
+    inside = np.arange(length) < n[:, None]
+    step = max(1, int(61.9 / np.log2(max(int(n.max()), 2))))
+    # the symbols in order: what lies at a place of it has the interval of its symbol
+    inorder = np.sort(np.where(inside, spelt, np.uint32(0xFFFFFFFF)), axis=1)
+    new = np.ones((rows, length), bool)
+    new[:, 1:] = inorder[:, 1:] != inorder[:, :-1]
+    low = np.maximum.accumulate(np.where(new, np.arange(length), 0), axis=1)
+    group = np.cumsum(new.ravel()) - 1
+    count = np.bincount(group)[group].reshape(rows, length)
+    # each symbol's interval: places of the text, in order, are the places of the order
+    by = np.argsort(np.where(inside, spelt, np.uint32(0xFFFFFFFF)), axis=1, kind="stable")
+    own_low, own_count = np.empty_like(low), np.empty_like(count)
+    np.put_along_axis(own_low, by, low, 1)
+    np.put_along_axis(own_count, by, count, 1)
+    runs = -(-length // step)
+    add, times, power = np.zeros((rows, runs), np.int64), np.ones((rows, runs), np.int64), np.ones((rows, runs), np.int64)
+    for j in range(length):
+        g, on = j // step, n > j
+        add[on, g] = add[on, g] * n[on] + times[on, g] * own_low[on, j]
+        times[on, g] *= own_count[on, j]
+        power[on, g] *= n[on]
+    exact, ps, qs, where, lane_row = np.zeros(rows, bool), [], [], [], []
+    for i, (a, t, w) in enumerate(zip(add.tolist(), times.tolist(), power.tolist())):
+        x, width, whole = 0, 1, 1
+        kept = [(0, 1, 1)]
+        for g in range(-(-int(n[i]) // step)):
+            x, width, whole = x * w[g] + width * a[g], width * t[g], whole * w[g]
+            kept.append((x, width, whole))
+        point = x, whole
+        exact[i] = x * point[1] <= point[0] * whole < (x + width) * point[1]
+        for bits in budgets:
+            c = cut(point, bits)[0]
+            lo, hi = 0, len(kept) - 1
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if kept[mid][0] << bits <= c * kept[mid][2] else (lo, mid - 1)
+            x0, width0, whole0 = kept[lo]
+            ps.append(c * whole0 - (x0 << bits))
+            qs.append(width0 << bits)
+            where.append(lo * step)
+            lane_row.append(i)
+    row, pos = np.array(lane_row), np.array(where)
+    got = spelt[row]
+    pos = np.minimum(pos, n[row])
+    todo = np.flatnonzero(pos < n[row])
+    while len(todo):
+        for k in [k for k in todo.tolist() if ps[k] == 0]:  # at the low end for good
+            got[k, pos[k] :] = inorder[row[k], 0]
+            pos[k] = n[row[k]]
+        todo = todo[pos[todo] < n[row[todo]]]
+        x = np.array([ps[k] / qs[k] for k in todo.tolist()])
+        r, at, size = row[todo], pos[todo].copy(), n[row[todo]]
+        e, a, t, w = np.full(len(todo), 2.0**-50), np.zeros(len(todo), np.int64), np.ones(len(todo), np.int64), np.ones(len(todo), np.int64)
+        on = np.arange(len(todo))
+        for _ in range(step):
+            y, ey = x[on] * size[on], e[on] * size[on] * (1 + 2.0**-40) + size[on] * 2.0**-50
+            place = np.floor(y)
+            sure = (y - place > ey) & (place + 1 - y > ey) & (at[on] < size[on])
+            on, y, ey, place = on[sure], y[sure], ey[sure], place[sure].astype(np.int64)
+            l, c = low[r[on], place], count[r[on], place]
+            got[todo[on], at[on]] = inorder[r[on], place]
+            x[on], e[on] = (y - l) / c, ey / c + 2.0**-50
+            a[on], t[on], w[on] = a[on] * size[on] + t[on] * l, t[on] * c, w[on] * size[on]
+            at[on] += 1
+        pos[todo] = at
+        for k, a_, t_, w_ in zip(todo.tolist(), a.tolist(), t.tolist(), w.tolist()):
+            if w_ == 1 and n[row[k]] > 1:  # no step was sure
+                i = row[k]
+                place = ps[k] * int(n[i]) // qs[k]
+                got[k, pos[k]] = inorder[i, place]
+                pos[k] += 1
+                a_, t_, w_ = int(low[i, place]), int(count[i, place]), int(n[i])
+            elif w_ == 1 and n[row[k]] == 1:
+                got[k, 0], pos[k] = inorder[row[k], 0], 1
+            ps[k], qs[k] = ps[k] * w_ - a_ * qs[k], qs[k] * t_
+        todo = todo[pos[todo] < n[row[todo]]]
+    bad = (got != spelt[row]) & inside[row]
+    return exact, [bad[b :: len(budgets)] for b in range(len(budgets))]
 
 
 def span_points(df: DataFrame, bits: int | None, span: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -205,3 +205,23 @@ def test_rates_of_texts_side_by_side(spark, counted, monkeypatch):
                 contexts[context] = contexts.get(context, 0) + 1
                 pairs[context, c] = pairs.get((context, c), 0) + 1
             assert np.allclose(got.get((i, order), []), want, rtol=0, atol=1e-12)
+
+
+def test_interval_sweep_equals_whole_numbers(spark):
+    """Several symbols at once, by floats where they are sure, are the errors of unbounded rationals."""
+    texts = ["", None, "a", "aa", "ab", "ba" * 128, "a" * 500, "abcd" * 64, "zzzza" * 50, TEXTS[3][:700], "the river runs " * 33, "".join(chr(200 + i) for i in range(240))]
+    want = {}
+    for k, whole in enumerate(texts):
+        for b in range(0, len(whole or ""), 240):
+            t = whole[b : b + 240]
+            m = rates.Intervals(t)
+            for reverse in (False, True):
+                s = t[::-1] if reverse else t
+                p = m.point(s)
+                for bits in (5, 200, 400, 1200):
+                    got = m.text(rates.cut(p, bits), len(s))
+                    got = got[::-1] if reverse else got
+                    bad = [i for i, (x, y) in enumerate(zip(got, t)) if x != y]
+                    want[k, b // 240, reverse, bits] = (len(t), len(bad), bad[0] if bad else -1, bad[-1] if bad else -1, m.text(p, len(s)) == s)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in rates.interval_sweep(d, (5, 200, 400, 1200)).collect()} == want
