@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: code points that count as white space, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -225,14 +226,40 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # ------------------------------------------------------------------ connected components
 
 
+FEW_LINKS = 1_000_000  #: links, of 16 bytes each, whose components one task finds
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of all linked nodes: roots that a link joins take the smaller one, until no link joins two."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(left := np.flatnonzero(root[a] != root[b])):
+        a, b = a[left], b[left]
+        low, x, y = np.minimum(root[a], root[b]), root[a], root[b]
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
 def components(scratch: Scratch, links: DataFrame, name: str, most: int = 60) -> DataFrame:
     """Components of links (a, b): one row (node, root) for each linked node, root the smallest node.
 
-    Alternating large-star and small-star steps, each written to the shared folder; every step is
+    Up to ``FEW_LINKS`` links, by count, are joined in one task, as rounds of jobs cost the driver time and memory. More go by
+    alternating large-star and small-star steps, each written to the shared folder; every step is
     an aggregate and a join on the node, so nothing gathers on the driver or by component.
     Raises if ``most`` rounds don't suffice, which needs a chain of over 2^60 nodes.
     """
     e = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    if e.schema["a"].dataType == e.schema["b"].dataType == T.LongType() and e.count() <= FEW_LINKS:
+
+        def run(batches):
+            parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+            node, root = _roots(*(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1)))
+            yield pa.record_batch({"node": pa.array(node), "root": pa.array(root)})
+
+        return e.coalesce(1).mapInArrow(run, "node long, root long")
     before, last = None, f"{name}-0"
     for i in range(1, most + 1):
         both = e.union(e.select("b", "a"))
