@@ -248,3 +248,22 @@ def test_pack_roundtrip_of_texts_without_symbols(spark, tmp_path):
     """As for the grid codec."""
     con = _odd_documents(spark, tmp_path)
     same(archive.pack_roundtrip(spark, str(tmp_path)), con, archive.ORACLE_SQL["pack_roundtrip"])
+
+
+def test_interval_points_go_side_by_side(monkeypatch):
+    """Long whole numbers were touched for each seven symbols of every point; now only where rounding leaves a doubt."""
+    texts = [TEXTS[3][i : i + 240] for i in range(0, 3000, 240)] + ["".join(R.choice("etaoinshrdlu mfy,.") for _ in range(240)) for _ in range(20)]
+    n = np.array([len(t) for t in texts])
+    spelt = np.zeros((len(texts), 240), np.uint32)
+    for row, t in zip(spelt, texts):
+        row[: len(t)] = folds.code_points(t)
+    calls, own = [], rates._stepped
+    monkeypatch.setattr(rates, "_stepped", lambda *a: calls.append(a) or own(*a))
+    budgets = (200, 400, 800)
+    exact, wrong = rates._swept(spelt, n, budgets)
+    assert exact.all() and len(calls) <= 2
+    for i, t in enumerate(texts + [t[::-1] for t in texts]):
+        m = rates.Intervals(t[:: 1 if i < len(texts) else -1])
+        for bits, bad in zip(budgets, wrong):
+            got = m.text(rates.cut(m.point(t), bits), len(t))
+            assert bad[i, : len(t)].tolist() == [a != b for a, b in zip(got, t)]
